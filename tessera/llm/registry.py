@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses
+from . import exact_dedup, jpeg, licenses, packing
 
 QUERIES = {
+    "op5_jpeg_media": jpeg.query,
+    "op6_best_fit_packing": packing.query,
     "op8_license_scan": licenses.query,
     "op10_exact_dedup": exact_dedup.query,
 }
