@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jpeg, licenses, packing
+from . import exact_dedup, jpeg, licenses, packing, pii
 
 QUERIES = {
     "op5_jpeg_media": jpeg.query,
     "op6_best_fit_packing": packing.query,
+    "op7_weak_supervision_pii": pii.query,
     "op8_license_scan": licenses.query,
     "op10_exact_dedup": exact_dedup.query,
 }
