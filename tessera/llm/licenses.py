@@ -1,8 +1,8 @@
 """License scans: exact phrases, and short notices with a bounded number of edits.
 
 A notice that may have k edits is split into k + 1 pieces; one of them must occur unchanged (pigeonhole). One
-Aho-Corasick pass finds those seeds; the regex library's bounded-error matching then checks the window around each
-and reports its span and errors. A text is read whole, as its words joined by one space, so that punctuation and
+Aho-Corasick pass finds those seeds. An edit changes three trigrams at most, so a window that lacks more of the notice's
+trigrams than 3 k can't hold it; the regex library's bounded-error matching checks the other windows and reports spans and errors. A text is read whole, as its words joined by one space, so that punctuation and
 line breaks inside a notice don't matter.
 
 Defined cases: a null text is empty: no words, null first_word and last_word, empty labels, score 0.
@@ -54,7 +54,7 @@ def _searcher():
         seeds.add_word(seed, (len(seed), places))
     seeds.make_automaton()
     # (?b): the best match in the window, not the first within the bound
-    checks = [(label, len(notice), len(notice) // CHARS_PER_EDIT, regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(notice, special_only=True, literal_spaces=True)}){{e<={len(notice) // CHARS_PER_EDIT}}}(?![^ ])")) for notice, label in NOTICES.items()]
+    checks = [(label, len(notice), len(notice) // CHARS_PER_EDIT, regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(notice, special_only=True, literal_spaces=True)}){{e<={len(notice) // CHARS_PER_EDIT}}}(?![^ ])"), [notice[i : i + 3] for i in range(len(notice) - 2)]) for notice, label in NOTICES.items()]
     return seeds, checks
 
 
@@ -64,7 +64,7 @@ def fuzzy_notices(words: str) -> list[tuple[str, int, int, int, float]]:
     windows: dict[int, list[list[int]]] = {}
     for end, (size, places) in seeds.iter(words):
         for number, offset in places:
-            _, length, edits, _ = checks[number]
+            _, length, edits, _, _ = checks[number]
             a = max(0, end + 1 - size - offset - edits)
             b = end + 1 - size - offset + length + edits
             mine = windows.setdefault(number, [])
@@ -74,9 +74,12 @@ def fuzzy_notices(words: str) -> list[tuple[str, int, int, int, float]]:
                 mine.append([a, b])
     out = []
     for number, spans in windows.items():
-        label, length, edits, pattern = checks[number]
+        label, length, edits, pattern, grams = checks[number]
         for a, b in spans:
             a, b = words.rfind(" ", 0, a) + 1, (words.find(" ", b) if words.find(" ", b) >= 0 else len(words))
+            window = words[a:b]
+            if sum(g not in window for g in grams) > 3 * edits:
+                continue
             for m in pattern.finditer(words, a, b):
                 wrong = sum(m.fuzzy_counts)
                 out.append((label, m.start(), m.end(), wrong, 1 - wrong / length))
