@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jpeg, licenses, packing, pii, quality
+from . import exact_dedup, jpeg, licenses, mixing, packing, pii, quality
 
 QUERIES = {
+    "op1_rake_and_sample": mixing.query,
     "op4_importance_resampling": quality.query,
     "op5_jpeg_media": jpeg.query,
     "op6_best_fit_packing": packing.query,
