@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jpeg, licenses, mixing, packing, pii, quality
+from . import exact_dedup, jpeg, licenses, mixing, near_dedup, packing, pii, quality
 
 QUERIES = {
     "op1_rake_and_sample": mixing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_best_fit_packing": packing.query,
     "op7_weak_supervision_pii": pii.query,
     "op8_license_scan": licenses.query,
+    "op9_dart_minhash": near_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 ORACLES = {"op10_exact_dedup": exact_dedup.SQL}
