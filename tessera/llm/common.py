@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,6 +54,14 @@ def saved(df: DataFrame) -> DataFrame:
     return Table(df).df
 
 
+def tidy(spark: SparkSession, *tables: Table) -> None:
+    """Drops tables, and lets Spark's cleaner remove the shuffle files of jobs that are over: it waits for a collection."""
+    for t in tables:
+        t.drop()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def with_text(docs: DataFrame, *more, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, more): null texts are empty ones; other columns go, whatever their names."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
