@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import debruijn, exact_dedup, jpeg, licenses, mixing, near_dedup, packing, pii, quality
+from . import debruijn, exact_dedup, jpeg, lbl, licenses, mixing, near_dedup, packing, pii, quality
 
 QUERIES = {
     "op1_rake_and_sample": mixing.query,
     "op2_debruijn_dedup": debruijn.query,
+    "op3_log_bilinear": lbl.query,
     "op4_importance_resampling": quality.query,
     "op5_jpeg_media": jpeg.query,
     "op6_best_fit_packing": packing.query,
