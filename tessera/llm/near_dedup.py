@@ -6,7 +6,8 @@ regions, assigns them to the k coordinates by their hash, and keeps the earliest
 coordinate with the probability of their weighted Jaccard similarity. Coordinates are joined to bands; documents that
 agree in a whole band are candidates. Elements are shingles of five words, of weight 1 or their count.
 
-Documents whose words are the same are one text; only one document stands for it from then on. Inside a band's bucket, pairs
+Documents whose words are the same are one text; only one document stands for it from then on. Shingles
+that stand in no other candidate bound a text's similarity to all others; texts that can't reach the threshold go first (``possible``). Inside a band's bucket, pairs
 are not all emitted: in a first round each member meets one leader, the member that stands in the fullest buckets. Then
 classes are formed, and only members of different classes in a bucket go on to meet, in rounds with four times as many leaders
 each; a leader that has met its whole bucket leaves it. In the last round all that are left lead. So every two
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, blocks, documents, saved, text_bytes, with_text
+from .common import arrow_schema, blocks, documents, saved, text_bytes, tidy, with_text
 from .words import hash_words, mixed, span_hashes, window_hashes
 
 SHINGLE = 5
@@ -174,6 +175,29 @@ def _agreeing(least: int):
     return run
 
 
+def possible(rows: DataFrame, sets: DataFrame, similarity: float, rounds: int = 5) -> DataFrame:
+    """Those of ``rows`` (bucket, narrow, id) whose text may have a partner in the bucket.
+
+    Of n shingles of x, c stand in any other candidate. A partner of y shingles shares c at most, so J <= c / (n + y - c): c must
+    be at least J n, and some text in the bucket small enough. What goes takes its shingles with it; so again.
+    """
+    sizes, before = sets.select("id", F.size("shingles").alias("n")).distinct(), None
+    for _ in range(rounds):
+        ids = saved(rows.select("id").distinct())
+        each = sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("s"))
+        alone = each.groupBy("s").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("alone"))
+        met = sizes.join(ids, "id").join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
+        told = saved(rows.select("bucket", "narrow", "id").join(met.where(F.col("c") >= F.lit(similarity - 1e-9) * F.col("n")), "id"))
+        least = told.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("members")).where("members > 1")
+        fits = F.col("least") <= F.col("c") * F.lit((1 + similarity) / similarity + 1e-9) - F.col("n")
+        rows = saved(told.join(least, "bucket").where(fits).select("bucket", "narrow", "id", "n", "c"))
+        now = rows.count()
+        if before and now > 0.9 * before:
+            break
+        before = now
+    return rows
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id that edges (a, b) join each id to; only ids with edges.
 
@@ -192,9 +216,13 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved
 
 
-def _meetings(rows: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Distinct (a, b) of leaders with members of their buckets that are in other classes."""
-    pairs = rows.join(leaders, "bucket").where("label <> leader_label")
+def _meetings(rows: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (a, b) of leaders with members of their buckets that are in other classes, where sizes and shared shingles allow a link."""
+    bound = F.least("c", "leader_c") * F.lit((1 + similarity) / similarity + 1e-9)
+    # two texts that share several buckets meet in the least of them alone, and once if both lead there
+    here = F.col("narrow") | (F.col("bucket") == F.array_min(F.array_intersect("bands", "leader_bands")))
+    once = ~F.col("leads") | (F.col("leader") < F.col("id"))
+    pairs = rows.join(leaders, "bucket").where((F.col("label") != F.col("leader_label")) & (bound >= F.col("n") + F.col("leader_n")) & once & here)
     return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
@@ -225,7 +253,11 @@ def _links(base: DataFrame, same: DataFrame, similarity: float, counted: bool, p
     """(a, b): checked links between ids of different texts, enough to join every class; None without any candidates."""
     signed = saved(base.mapInArrow(_signed(counted), _SIGNED))
     stands = same.select(F.col("id").alias("doc_id")).where("doc_id is not null")
-    marks = saved(signed.select("doc_id", "bands").join(stands, "doc_id", "left_semi").select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id")))
+    # buckets of two bands each meet first: nearer texts, more links, and fewer that are left to meet in buckets of one
+    pairs_of_bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 2), F.lit(2)), lambda k: F.struct(F.xxhash64(F.get("bands", k), F.get("bands", k + 1)).alias("bucket"), F.lit(True).alias("narrow")))
+    of_one = F.transform("bands", lambda x: F.struct(x.alias("bucket"), F.lit(False).alias("narrow")))
+    every = signed.select("doc_id", "bands").join(stands, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode(F.concat(of_one, pairs_of_bands)).alias("x"))
+    marks = saved(every.select("id", "x.bucket", "x.narrow"))
     shared = marks.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     rows = saved(marks.join(shared, "bucket"))
     hubs = saved(rows.groupBy("id").agg(F.sum("n").alias("hub")))
@@ -234,7 +266,14 @@ def _links(base: DataFrame, same: DataFrame, similarity: float, counted: bool, p
     shown = hubs.select(F.col("id").alias("doc_id"))
     signatures = saved(signed.select("doc_id", "signature").join(shown, "doc_id", "left_semi").withColumnRenamed("doc_id", "id"))
     sets = saved(base.join(shown, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets(counted), "id long, shingles array<long>"))
-    active = rows.join(hubs, "id").select("bucket", "id", "hub", F.col("id").alias("label"))
+    tidy(base.sparkSession)
+    # what can't have a partner leaves; a bucket that is left with one text as well
+    rows = possible(rows.drop("n"), sets, similarity)
+    rows = saved(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "bucket"))
+    hubs = saved(rows.groupBy("id").agg(F.sum("members").alias("hub")))
+    bands = signed.select(F.col("doc_id").alias("id"), "bands").join(hubs.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    carried = ("bucket", "narrow", "id", "n", "c", "hub", "bands")
+    active = saved(rows.join(hubs, "id").join(bands, "id").select(*carried, F.col("id").alias("label")))
     links, tested, turn = None, None, 0
     while True:
         live = active
@@ -245,12 +284,12 @@ def _links(base: DataFrame, same: DataFrame, similarity: float, counted: bool, p
                 return links
             draw = F.pmod(F.xxhash64("bucket", "id", F.lit(turn)), F.lit(1 << 30)).cast("double") / float(1 << 30)
             live = live.withColumn("leads", draw * F.col("members") < float(4**turn))
-            leaders = live.where("leads").select("bucket", F.col("id").alias("leader"), F.col("label").alias("leader_label"))
+            leaders = live.where("leads").select("bucket", F.col("id").alias("leader"), F.col("label").alias("leader_label"), F.col("n").alias("leader_n"), F.col("c").alias("leader_c"), F.col("bands").alias("leader_bands"))
         else:
             live = live.withColumn("leads", F.lit(False))
-            top = live.groupBy("bucket").agg(F.max(F.struct("hub", F.negate("id").alias("less"))).alias("top"))
-            leaders = top.select("bucket", F.negate("top.less").alias("leader"), F.negate("top.less").alias("leader_label"))
-        pairs = _meetings(live, leaders)
+            top = live.groupBy("bucket").agg(F.max(F.struct("hub", F.negate("id").alias("less"), "n", "c", "bands")).alias("top"))
+            leaders = saved(top.select("bucket", F.negate("top.less").alias("leader"), F.negate("top.less").alias("leader_label"), F.col("top.n").alias("leader_n"), F.col("top.c").alias("leader_c"), F.col("top.bands").alias("leader_bands")))
+        pairs = _meetings(live, leaders, similarity)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = saved(pairs)
@@ -264,11 +303,11 @@ def _links(base: DataFrame, same: DataFrame, similarity: float, counted: bool, p
         links = made if links is None else links.union(made)
         # leaders have met all of their buckets and leave them; the others go on under the labels of their classes
         if turn:
-            rest = live.where("not leads").select("bucket", "id", "hub")
+            rest = live.where("not leads").select(*carried)
         else:
-            rest = active.select("bucket", "id", "hub").join(leaders.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
+            rest = active.where("not narrow").select(*carried).join(leaders.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
         labels = components(links)
-        active = saved(rest.join(labels, "id", "left").select("bucket", "id", "hub", F.coalesce("label", "id").alias("label")))
+        active = saved(rest.join(labels, "id", "left").select(*carried, F.coalesce("label", "id").alias("label")))
         turn += 1
 
 
