@@ -36,26 +36,26 @@ def fields(line: Column) -> Column:
 
 
 def _lines(spark: SparkSession, path: str, pattern: str, recursive: bool = False) -> DataFrame:
-    """(file, nth, line) without blank lines and comments; a file's lines keep their order within it."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
-    whole = reader.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
-    rows = whole.select("file", F.posexplode(F.split("value", "\\r?\\n")).alias("nth", "line"))
+    """(path, file, nth, line) without blank lines and comments; nth orders a file's lines, however it is split."""
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
+    nth = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), nth.alias("nth"), F.rtrim("value").alias("line"))
     return rows.where("trim(line) <> '' and not startswith(trim(line), '#')")
 
 
 def _places(header: Column, aliases: dict) -> dict[str, Column]:
     """Where each column stands in a header: the last field with one of its names; -1 if none."""
     lowered = F.transform(header, F.lower)
-    return {c: F.greatest(*[F.size(lowered) - F.array_position(F.reverse(lowered), n) if False else F.when(F.array_contains(lowered, n), F.size(lowered) - F.array_position(F.reverse(lowered), n)).otherwise(-1) for n in (*names, names[0])]).cast("int") for c, names in aliases.items()}
+    return {c: F.greatest(*[F.when(F.array_contains(lowered, n), F.size(lowered) - F.array_position(F.reverse(lowered), n)).otherwise(-1) for n in (*names, names[0])]).cast("int") for c, names in aliases.items()}
 
 
 def _table(rows: DataFrame, aliases: dict) -> DataFrame:
     """(file, nth, has_<column>, <column> as text): rows with their file's header applied."""
-    first = F.first("line").over(Window.partitionBy("file").orderBy("nth"))
-    rows = rows.withColumn("head", fields(first)).withColumn("is_head", F.row_number().over(Window.partitionBy("file").orderBy("nth")) == 1).where("not is_head")
+    heads = rows.groupBy("path").agg(F.min_by("line", "nth").alias("first"), F.min("nth").alias("at")).select("path", "at", fields(F.col("first")).alias("head"))
+    rows = rows.join(heads, "path").where(F.col("nth") > F.col("at"))
     rows = rows.withColumn("f", fields(F.col("line")))
     at = _places(F.col("head"), aliases)
-    return rows.select("file", "nth", *[(p >= 0).alias(f"has_{c}") for c, p in at.items()], *[F.get("f", p).alias(c) for c, p in at.items()])
+    return rows.select("path", "file", "nth", *[(p >= 0).alias(f"has_{c}") for c, p in at.items()], *[F.get("f", p).alias(c) for c, p in at.items()])
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
@@ -92,7 +92,7 @@ def lenient_number(x: Column) -> Column:
 def lenient_day(x: Column) -> Column:
     x = F.trim(x)
     digits = x.rlike("^[0-9]{9,13}$")
-    epoch = F.when(F.length(x) >= 12, F.expr("null").cast("long")).otherwise(x.try_cast("long"))
+    epoch = F.when(F.length(x) < 12, x.try_cast("long"))
     at = F.coalesce(epoch, (x.try_cast("long") / 1000).cast("long"))
     return F.when(digits, F.to_date(F.timestamp_seconds(at))).otherwise(F.coalesce(*[F.try_to_date(x, f) for f in DATE_FORMS], F.try_to_date(F.substring(x, 1, 10), "yyyy-MM-dd")))
 
@@ -104,7 +104,7 @@ def import_prices(spark: SparkSession, path: str, least_rows: int = 1, start: st
     rows = _table(_lines(spark, path, "*.csv", recursive=True), aliases)
     raw = lambda c: lenient_number(F.col(c))
     factor = F.when(F.col("has_adj_close") & (raw("close") > 0) & (raw("adj_close") > 0), raw("adj_close") / raw("close")).otherwise(1.0)
-    out = rows.select(F.upper(F.when(F.col("has_symbol"), F.trim("symbol")).otherwise(F.regexp_extract("file", r"(.*)\.csv$", 1))).alias("ticker"), "file", "nth", lenient_day(F.col("date")).alias("date"), *[(raw(c) * factor).alias(c) for c in BAR[:4]], F.coalesce(raw("volume"), F.lit(0.0)).alias("volume"))
+    out = rows.select(F.upper(F.when(F.col("has_symbol"), F.trim("symbol")).otherwise(F.regexp_extract("file", r"(.*)\.csv$", 1))).alias("ticker"), "path", "nth", lenient_day(F.col("date")).alias("date"), *[(raw(c) * factor).alias(c) for c in BAR[:4]], F.coalesce(raw("volume"), F.lit(0.0)).alias("volume"))
     out = out.where(F.col("date").isNotNull() & is_valid())
     if start:
         out = out.where(F.col("date") >= F.lit(start).cast("date"))
@@ -112,7 +112,7 @@ def import_prices(spark: SparkSession, path: str, least_rows: int = 1, start: st
         out = out.where(F.col("date") <= F.lit(end).cast("date"))
     if tickers:
         out = out.where(F.col("ticker").isin([t.upper() for t in tickers]))
-    last = out.withColumn("k", F.row_number().over(Window.partitionBy("ticker", "date").orderBy(F.desc("file"), F.desc("nth")))).where("k = 1")
+    last = out.withColumn("k", F.row_number().over(Window.partitionBy("ticker", "date").orderBy(F.desc("path"), F.desc("nth")))).where("k = 1")
     counted = last.withColumn("rows", F.count("*").over(Window.partitionBy("ticker")))
     return counted.where(F.col("rows") >= least_rows).select("ticker", "date", *BAR)
 

@@ -12,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def tick_bars(ticks: DataFrame, width: str = "1 hour", late: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Tumbling (or sliding) bars by event type; ticks later than the watermark are dropped, repeated event ids counted once."""
-    rows = ticks.withWatermark("ts", late) if ticks.isStreaming else ticks
+    rows = ticks.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a time zone
+    rows = rows.withWatermark("ts", late) if ticks.isStreaming else rows
     rows = rows.dropDuplicatesWithinWatermark(["event_id"]) if ticks.isStreaming else rows.dropDuplicates(["event_id"])
     key = F.struct("ts", "event_id")
     out = rows.groupBy(F.window("ts", width, slide) if slide else F.window("ts", width), "event_type").agg(F.min_by("value", key).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", key).alias("close"), F.count("*").cast("double").alias("volume"))
@@ -21,7 +22,8 @@ def tick_bars(ticks: DataFrame, width: str = "1 hour", late: str = "1 hour", sli
 
 def sessions(ticks: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Runs of a user's ticks without a gap."""
-    rows = ticks.withWatermark("ts", late) if ticks.isStreaming else ticks
+    rows = ticks.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if ticks.isStreaming else rows
     out = rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("ticks"), F.sum("value").alias("total"))
     return out.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "ticks", "total")
 
