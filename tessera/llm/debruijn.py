@@ -166,48 +166,58 @@ def _keyed(docs: DataFrame, **cols) -> DataFrame:
     return with_text(docs, **cols).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.hash("text").alias("mark"), "doc_id", "text")
 
 
-def repeated_edges(base: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_edges(base: DataFrame, window: int = WINDOW) -> Table:
     """(doc, mark, first, size, edge, g1, g2, junction): the repeated windows of each document, as blocks where possible.
 
     edge: the block's number of windows, 0 for a single window; (g1, g2): what it is; junction: occurrences diverge in it.
     """
     spark = base.sparkSession
     every = Table(base.select("doc", "mark", "text").mapInArrow(_block_rows(window), _BLOCKS))
-    anchors = every.df.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1")
-    rows = saved(every.df.join(anchors.select("anchor", F.expr("lo <> hi").alias("junction")), "anchor"))
-    tidy(spark, every)
-    alike = saved(rows.where("junction").groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc", "mark", "first", "size")).alias("at")))
+    # written first: a join with a table, not with an aggregate, can split the rows of a very frequent anchor
+    anchors = Table(every.df.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1").select("anchor", F.expr("lo <> hi").alias("junction")))
+    tidy(spark)
+    held = Table(every.df.join(anchors.df, "anchor"))
+    rows = held.df
+    tidy(spark, every, anchors)
+    kinds = Table(rows.where("junction").groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc", "mark", "first", "size")).alias("at")))
+    alike = kinds.df
     one = rows.select("doc", "mark", "first", "size", F.col("size").alias("edge"), F.col("anchor").alias("g1"), F.col("content").alias("g2"), "junction")
     plain = one.where("not junction")
     met = one.where("junction").join(alike.where("n > 1").select(F.col("anchor").alias("g1"), F.col("content").alias("g2")), ["g1", "g2"]).select(*one.columns)
     asked = alike.select("at.doc", "at.mark", F.struct(F.col("at.first").alias("first"), F.col("at.size").alias("size"), (F.col("n") > 1).alias("many")).alias("x")).groupBy("doc", "mark").agg(F.collect_list("x").alias("asked"))
-    windows = saved(base.select("doc", "mark", "text").join(asked, ["doc", "mark"]).mapInArrow(_window_rows(window), _WINDOWS))
+    windows = Table(base.select("doc", "mark", "text").join(asked, ["doc", "mark"]).mapInArrow(_window_rows(window), _WINDOWS))
+    tidy(spark)
+    counts = Table(windows.df.groupBy("k1", "k2").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("c")).where("c > 1").select("k1", "k2"))
     tidy(spark)
-    counts = windows.groupBy("k1", "k2").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("c")).where("c > 1").select("k1", "k2")
-    single = windows.where("not many").join(counts, ["k1", "k2"]).select("doc", "mark", "first", F.lit(1).alias("size"), F.lit(0).alias("edge"), F.col("k1").alias("g1"), F.col("k2").alias("g2"), F.lit(True).alias("junction"))
-    return saved(plain.unionByName(met).unionByName(single).dropDuplicates(["doc", "mark", "first"]))
+    single = windows.df.where("not many").join(counts.df, ["k1", "k2"]).select("doc", "mark", "first", F.lit(1).alias("size"), F.lit(0).alias("edge"), F.col("k1").alias("g1"), F.col("k2").alias("g2"), F.lit(True).alias("junction"))
+    # rows that are the same document give the same edges
+    out = Table(plain.unionByName(met).unionByName(single).dropDuplicates(["doc", "mark", "first"]))
+    tidy(spark, held, kinds, windows, counts)
+    return out
 
 
-def unitigs(edges: DataFrame) -> DataFrame:
+def unitigs(found: Table) -> DataFrame:
     """(doc, mark, first, size, edge, g2, u1, u2): chains of edges that don't branch, with their unitig's head (u1, u2)."""
-    order = Window.partitionBy("doc", "mark").orderBy("first")
+    spark, order = found.spark, Window.partitionBy("doc", "mark").orderBy("first")
     before = F.lag(F.struct("g1", "g2", (F.col("first") + F.col("size")).alias("next"), "junction")).over(order)
-    linked = saved(edges.withColumn("p", before).withColumn("linked", F.coalesce((F.col("p.next") == F.col("first")) & ~F.col("p.junction") & ~F.col("junction"), F.lit(False)))
+    linked = Table(found.df.withColumn("p", before).withColumn("linked", F.coalesce((F.col("p.next") == F.col("first")) & ~F.col("p.junction") & ~F.col("junction"), F.lit(False)))
                    .select("doc", "mark", "first", "size", "edge", "g1", "g2", "linked", F.col("p.g1").alias("p1"), F.col("p.g2").alias("p2")))
-    pairs = linked.where("linked").select("p1", "p2", "g1", "g2")
+    tidy(spark, found)
+    pairs = linked.df.where("linked").select("p1", "p2", "g1", "g2")
     ahead, back = F.struct("g1", "g2"), F.struct("p1", "p2")
     # nodes with one way out, and with one way in
     out = pairs.groupBy("p1", "p2").agg(F.min(ahead).alias("a"), F.max(ahead).alias("b")).where("a = b").select("p1", "p2", F.col("a.g1").alias("g1"), F.col("a.g2").alias("g2"))
     into = pairs.groupBy("g1", "g2").agg(F.min(back).alias("a"), F.max(back).alias("b")).where("a = b").select("g1", "g2")
     straight = saved(out.join(into, ["g1", "g2"]).select("g1", "g2", F.lit(True).alias("straight")))
-    marked = linked.join(straight, ["g1", "g2"], "left").withColumn("starts", F.when(F.col("linked") & F.col("straight"), 0).otherwise(1))
-    chained = saved(marked.withColumn("chain", F.sum("starts").over(order)).select("doc", "mark", "chain", "first", "size", "edge", "g1", "g2"))
-    start = F.struct("first", "edge", "g1", "g2")
-    chains = saved(chained.groupBy("doc", "mark", "chain").agg(F.min(start).alias("s"), F.sum("size").alias("size")))
+    marked = linked.df.join(straight, ["g1", "g2"], "left").withColumn("starts", F.when(F.col("linked") & F.col("straight"), 0).otherwise(1))
+    chained = Table(marked.withColumn("chain", F.sum("starts").over(order)).select("doc", "mark", "chain", "first", "size", "edge", "g1", "g2"))
+    tidy(spark, linked)
+    chains = saved(chained.df.groupBy("doc", "mark", "chain").agg(F.min(F.struct("first", "edge", "g1", "g2")).alias("s"), F.sum("size").alias("size")))
     # a chain's head may be inside another document's chain: the unitig goes on to the left
-    within = chained.join(straight, ["g1", "g2"], "left_semi").join(chains.select("doc", "mark", "chain", "s"), ["doc", "mark", "chain"]).where("first > s.first")
     heads = chains.select(F.col("s.g1").alias("g1"), F.col("s.g2").alias("g2")).distinct().join(straight.select("g1", "g2"), ["g1", "g2"])
-    jump = saved(within.join(heads, ["g1", "g2"]).groupBy("g1", "g2").agg(F.max(F.struct(F.expr("first - s.first").alias("back"), F.col("s.g1").alias("h1"), F.col("s.g2").alias("h2"))).alias("j")).select("g1", "g2", "j.h1", "j.h2"))
+    within = chained.df.join(heads, ["g1", "g2"]).join(chains.select("doc", "mark", "chain", "s"), ["doc", "mark", "chain"]).where("first > s.first")
+    jump = saved(within.groupBy("g1", "g2").agg(F.max(F.struct(F.expr("first - s.first").alias("back"), F.col("s.g1").alias("h1"), F.col("s.g2").alias("h2"))).alias("j")).select("g1", "g2", "j.h1", "j.h2"))
+    tidy(spark, chained)
     for _ in range(40):  # doubles each time; a closed ring of edges never settles, and any of its edges may stand for it
         further = jump.select(F.col("g1").alias("h1"), F.col("g2").alias("h2"), F.col("h1").alias("f1"), F.col("h2").alias("f2"))
         step = saved(jump.join(further, ["h1", "h2"], "left").select("g1", "g2", F.coalesce("f1", "h1").alias("h1"), F.coalesce("f2", "h2").alias("h2"), F.expr("f1 is not null and not (f1 = g1 and f2 = g2)").alias("moved")))

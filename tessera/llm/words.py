@@ -39,17 +39,21 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def hash_words(texts: list[bytes], classes: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray]:
     """(the hashes of all words in order, where each text's words begin, with the end)."""
-    if not texts:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    return located_words(b"\n".join([*texts, b""]), [len(t) + 1 for t in texts], classes)[:2]
+
+
+def located_words(joined: bytes, sizes: list[int], classes: np.ndarray = BLANKS) -> tuple[np.ndarray, ...]:
+    """As ``hash_words``, of texts that each end in a line break, with the bytes where words begin and end."""
+    if not joined:
+        return np.zeros(0, np.uint64), np.zeros(len(sizes) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    raw = np.frombuffer(joined, np.uint8)
     kind = classes[raw]
     change = np.flatnonzero(np.diff(kind, prepend=0))
     first = change[kind[change] != 0]  # words' first bytes
     last = change[np.append(0, kind)[change] != 0] if len(change) else change  # the bytes after words
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(raw)), dtype=np.uint64)])
     h = mixed((sums[last] - sums[first]) * powers(_BACK, len(raw))[first])
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    return h, np.concatenate([[0], np.searchsorted(first, ends)])
+    return h, np.concatenate([[0], np.searchsorted(first, np.cumsum(sizes))]), first, last
 
 
 def window_hashes(h: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
