@@ -112,12 +112,14 @@ def _rake_apart(cells: DataFrame, given: dict | None, flatten: float, budget: fl
             now = now.join(ratio, now[m].eqNullSafe(ratio["value"]), "left").withColumn("weight", F.col("weight") * F.col("ratio")).drop("value", "ratio")
         now = saved(now)
     now = now.withColumn("factor", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0))
-    c, fixed = 1.0, -1
+    whole = now.agg(F.sum(F.col("tokens") * F.col("factor"))).first()[0]
+    c, fixed = budget * total / whole if whole else 1.0, 0
     while True:  # each pass fixes the cells that would be over 1
-        row = now.agg(F.sum(F.when(F.col("factor") * F.lit(c) > 1, F.col("tokens"))).alias("full"), F.sum(F.when(F.col("factor") * F.lit(c) <= 1, F.col("tokens") * F.col("factor"))).alias("rest"), F.count(F.when(F.col("factor") * F.lit(c) > 1, 1)).alias("n")).first()
+        over = F.col("factor") * F.lit(float(c)) > 1
+        row = now.agg(F.sum(F.when(over, F.col("tokens"))).alias("full"), F.sum(F.when(~over, F.col("tokens") * F.col("factor"))).alias("rest"), F.count(F.when(over & (F.col("tokens") > 0), 1)).alias("n")).first()
         if row.n == fixed or not row.rest:
             break
-        fixed, c = row.n, max(c, (budget * total - (row.full or 0)) / row.rest) if fixed >= 0 else (budget * total) / (now.agg(F.sum(F.col("tokens") * F.col("factor"))).first()[0])
+        fixed, c = row.n, max(c, (budget * total - (row.full or 0)) / row.rest)
     return now.select(*MARGINS, F.col("factor"), F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("factor") * F.lit(float(c)))).otherwise(1.0).alias("probability"))
 
 
