@@ -125,3 +125,55 @@ def summarise(paths: DataFrame, cash: float = 1.0) -> DataFrame:
     out = base.crossJoin(F.broadcast(tail))
     short = (F.coalesce("s", F.lit(0.0)) + F.greatest(F.col("k") - F.col("c"), F.lit(0)) * F.col("edge")) / F.greatest("k", "c")
     return out.withColumn("var_95", (F.lit(cash) - F.col("p05")) / cash).withColumn("cvar_95", (F.lit(cash) - short) / cash).drop("s", "c", "k", "edge")
+
+
+def gbm_price_paths(spark: SparkSession, start: float, mu: float, sigma: float, days: int, paths: int, seed: int = 42) -> DataFrame:
+    """(path, day, price): yearly drift and deviation, a row for each day from 0 on."""
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                ids = pdf["id"].to_numpy()[at : at + 256]
+                rng, price = Streams(seed, ids), np.full((days + 1, len(ids)), float(start))
+                for d in range(1, days + 1):
+                    price[d] = price[d - 1] * np.exp((mu - sigma * sigma / 2) / YEAR + sigma / math.sqrt(YEAR) * rng.normal())
+                yield pd.DataFrame({"path": np.tile(ids, days + 1), "day": np.repeat(np.arange(days + 1), len(ids)), "price": price.ravel()})
+
+    return spark.range(0, paths, 1, min(paths, 2 * spark.sparkContext.defaultParallelism)).mapInPandas(run, "path long, day long, price double")
+
+
+def correlated_price_paths(spark: SparkSession, tickers: list[str], start: np.ndarray, mu: np.ndarray, cov_daily: np.ndarray, days: int, paths: int, seed: int = 42) -> DataFrame:
+    """(path, day, ticker, price) of correlated assets."""
+    data = spark.sparkContext.broadcast((cholesky(cov_daily), np.asarray(mu) / YEAR - np.diag(cov_daily) / 2, np.asarray(start, float)))
+
+    def run(batches):
+        lower, drift, first = data.value
+        for pdf in batches:
+            for at in range(0, len(pdf), 64):
+                ids = pdf["id"].to_numpy()[at : at + 64]
+                rng, price = Streams(seed, ids), np.empty((days + 1, len(ids), len(first)))
+                price[0] = first
+                for d in range(1, days + 1):
+                    z = np.stack([rng.normal() for _ in first], axis=1)
+                    price[d] = price[d - 1] * np.exp(drift + z @ lower.T)
+                shape = price.shape
+                yield pd.DataFrame({"path": np.tile(np.repeat(ids, shape[2]), shape[0]), "day": np.repeat(np.arange(shape[0]), shape[1] * shape[2]), "ticker": np.tile(tickers, shape[0] * shape[1]), "price": price.ravel()})
+
+    return spark.range(0, paths, 1, min(paths, 2 * spark.sparkContext.defaultParallelism)).mapInPandas(run, "path long, day long, ticker string, price double")
+
+
+def resampled_days(spark: SparkSession, returns: DataFrame, days: int, paths: int, block: float = 1.0, seed: int = 42) -> DataFrame:
+    """(path, day, ticker, ret): every asset of a path takes the same drawn date. Dates are drawn, then joined with the returns."""
+    dates = returns.select("date").distinct()
+    order = dates.withColumn("pos", (F.row_number().over(Window.orderBy("date")) - 1).cast("long"))  # a row for each date
+    n = dates.count()
+
+    def draw(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 512):
+                ids = pdf["id"].to_numpy()[at : at + 512]
+                pos = Streams(seed, ids).blocks(n, days, block)
+                yield pd.DataFrame({"path": np.repeat(ids, days), "day": np.tile(np.arange(days), len(ids)), "pos": pos.ravel()})
+
+    drawn = spark.range(0, paths, 1, min(paths, 2 * spark.sparkContext.defaultParallelism)).mapInPandas(draw, "path long, day long, pos long")
+    return drawn.join(order, "pos").join(returns, "date").select("path", "day", "ticker", "ret")

@@ -375,6 +375,12 @@ def _(s, d):
     return simulate.summarise(simulate.gbm_portfolio_paths(s, mu, cov / 252, mu * 0 + 1 / len(mu), 5_000))
 
 
+query("gbm_price_paths", "path:i day:i price:4")(lambda s, d: simulate.gbm_price_paths(s, 100.0, 0.08, 0.2, 20, 50))
+query("correlated_price_paths", "path:i day:i ticker price:4")(lambda s, d: (lambda t, mu, cov: simulate.correlated_price_paths(s, t, mu * 0 + 100, mu * 0 + 0.05, cov / 252 * 0.0004, 10, 20))(*optimize.inputs(_common(s, d))))
+query("resampled_days", "path:i day:i ticker ret:8")(lambda s, d: simulate.resampled_days(s, _common(s, d), 20, 20, 5.0))
+query("unconstrained_frontier", "expected_return:6 volatility:6 sharpe:6")(lambda s, d: (lambda t, mu, cov: s.createDataFrame(optimize.unconstrained_frontier(mu, cov), "expected_return double, volatility double, sharpe double"))(*optimize.inputs(_common(s, d))))
+
+
 # streams, as batches here; tests replay them as streams
 
 query("tick_bars", f"ticker date:t {BARS}", E + "SELECT * FROM eb")(lambda s, d: stream.tick_bars(market.table(s, d, "events")))
