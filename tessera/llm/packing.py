@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import arrow_schema, blocks, column, documents, rows_to_batch, saved, text_bytes, with_text
+from .words import located_words
 
 CAPACITY = 4096
 END = 1
-#: Words that a worker keeps with their ids; beyond it the store starts anew.
-CACHED_WORDS = 300_000
+#: Words that a worker keeps with their ids.
+CACHED_WORDS = 800_000
+#: Words without their punctuation that it keeps besides.
+CACHED_PARTS = 200_000
 
 
 def default_tokenizer() -> str:
@@ -50,26 +55,95 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    return tokenizer, _Store(CACHED_WORDS), {}
+
+
+class _Store:
+    """Ids of recent words, by the words' 64-bit hashes in order; the half used last stays when it is full."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.keys, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.start, self.size, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.turn = 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the place of each key, whether it is held)."""
+        at = np.searchsorted(self.keys, keys)
+        held = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        held[inside] = self.keys[at[inside]] == keys[inside]
+        return at, held
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """ids: of each new word, 32 bits each."""
+        if len(self.keys) + len(keys) > self.limit:
+            kept = np.sort(np.argsort(self.used, kind="stable")[-(self.limit // 2) :])
+            self.flat = self.take(kept)
+            self.keys, self.size, self.used = self.keys[kept], self.size[kept], self.used[kept]
+            self.start = np.cumsum(self.size) - self.size
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.start, self.size, self.used = np.insert(self.start, at, start), np.insert(self.size, at, size), np.insert(self.used, at, self.turn)
+
+    def take(self, places: np.ndarray) -> np.ndarray:
+        """The ids of the words at ``places``, one word after the other."""
+        size = self.size[places]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[places] - ends + size, size) + np.arange(int(size.sum()))]
+
+
+#: Letters that stay letters when lowered, then punctuation: the tokenizer splits between them (no apostrophes: they join).
+_PLAIN = re.compile("([a-zA-ZÀ-ÖØ-öø-įıĲ-ɏ]+)([.,!?;:#*&%$|]*)")
+
+
+def _encoded(tokenizer, words: list[str]) -> Iterator[bytes]:
+    for at in range(0, len(words), 10_000):
+        ids = [e.ids for e in tokenizer.encode_batch_fast(words[at : at + 10_000], add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32).tobytes()
+        ends = list(accumulate(4 * len(x) for x in ids))
+        yield from map(flat.__getitem__, map(slice, [0, *ends], ends))
+
+
+def _new_words(tokenizer, parts: dict, words: list[str]) -> list[bytes]:
+    """The ids of words that the store lacks: letters and the punctuation after them apart, as far as they are known."""
+    found = list(map(_PLAIN.fullmatch, words))
+    heads = [m[1].lower() if m else w for w, m in zip(words, found)]  # all of a word that isn't plain
+    tails = [m[2] if m else "" for m in found]
+    if len(parts) > CACHED_PARTS:
+        parts.clear()
+    asked = list(set(heads).union(tails).difference(parts))
+    parts.update(zip(asked, _encoded(tokenizer, asked)))
+    return [parts[a] + parts[b] if b else parts[a] for a, b in zip(heads, tails)]
 
 
 def token_ids(texts: list[bytes], path: str) -> list[bytes]:
     """The ids of each UTF-8 text as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space, and nothing it does reaches across it; so each word between ASCII blanks is
-    tokenised once and its ids are kept.
+    tokenised once and its ids are kept. Words are found and compared as 64-bit hashes of their bytes. Nor does the
+    tokenizer join letters with punctuation after them: such words are put together from parts, of which there are fewer.
     """
-    tokenizer, known = _tokenizer(path)
-    split = [t.split() for t in texts]
-    new = list({w for words in split for w in words if w not in known})
-    if len(known) + len(new) > CACHED_WORDS:
-        known.clear()
-        new = list({w for words in split for w in words})
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-            known[w] = np.asarray(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    tokenizer, store, parts = _tokenizer(path)
+    joined = b"\n".join([*texts, b""])
+    h, at, first, last = located_words(joined, [len(t) + 1 for t in texts])
+    keys, example, word = np.unique(h, return_index=True, return_inverse=True)
+    if len(keys) > CACHED_WORDS // 4:
+        store = _Store(len(keys))  # a very long text has a store of its own
+    store.turn += 1
+    place, held = store.find(keys)
+    store.used[place[held]] = store.turn  # what is used now stays
+    if not held.all():
+        at_new = example[~held]
+        store.add(keys[~held], _new_words(tokenizer, parts, [joined[a:b].decode("utf-8", "replace") for a, b in zip(first[at_new].tolist(), last[at_new].tolist())]))
+        place, _ = store.find(keys)
+    flat = store.take(place[word]).astype("<u4")
+    ends = np.concatenate([[0], np.cumsum(store.size[place][word])])[at]
+    return [flat[a:b].tobytes() for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
@@ -80,7 +154,7 @@ def _pieces(path: str, capacity: int):
         schema, task = arrow_schema(_PIECES), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         end = END.to_bytes(4, "little")
-        for batch in blocks(batches):
+        for batch in blocks(batches, 1 << 20):
             out = []
             for doc_id, ids in zip(column(batch, "doc_id"), token_ids(text_bytes(batch), path)):
                 ids += end
