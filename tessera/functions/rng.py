@@ -35,43 +35,52 @@ class Streams:
         for _ in range(4):
             x = splitmix(x)
             self.s.append(x)
-        self.spare = np.full(len(x), np.nan)
-
-    def next(self, who: np.ndarray | slice = slice(None)) -> np.ndarray:
-        a, b, c, d = (x[who] for x in self.s)
-        with np.errstate(over="ignore"):
-            out = _rotl(b * _U(5), 7) * _U(9)
-            t = b << _U(17)
-            c, d = c ^ a, d ^ b
-            b, a = b ^ c, a ^ d
-            c, d = c ^ t, _rotl(d, 45)
-        for x, y in zip(self.s, (a, b, c, d)):
-            x[who] = y
+        self.spare = None
+        self.n = len(x)
+
+    def next(self, who: np.ndarray | None = None) -> np.ndarray:
+        """The next number of all streams, or of some."""
+        a, b, c, d = self.s if who is None else (x[who] for x in self.s)
+        out = _rotl(b * _U(5), 7) * _U(9)
+        t = b << _U(17)
+        c ^= a
+        d ^= b
+        b ^= c
+        a ^= d
+        c ^= t
+        d = _rotl(d, 45)
+        if who is None:
+            self.s[3] = d
+        else:
+            for x, y in zip(self.s, (a, b, c, d)):
+                x[who] = y
         return out
 
-    def uniform(self, who: np.ndarray | slice = slice(None)) -> np.ndarray:
+    def uniform(self, who: np.ndarray | None = None) -> np.ndarray:
         return (self.next(who) >> _U(11)).astype(float) * 2.0**-53
 
-    def index(self, n: int, who: np.ndarray | slice = slice(None)) -> np.ndarray:
+    def index(self, n: int, who: np.ndarray | None = None) -> np.ndarray:
         return (self.uniform(who) * n).astype(np.int64)
 
     def normal(self) -> np.ndarray:
         """One for each stream, by the polar method; its second value waits for the next call."""
-        out = self.spare.copy()
-        self.spare = np.full(len(out), np.nan)
-        todo = np.flatnonzero(np.isnan(out))
-        while len(todo):
-            u, v = 2 * self.uniform(todo) - 1, 2 * self.uniform(todo) - 1
-            s = u * u + v * v
-            good = (s > 0) & (s < 1)
-            at, f = todo[good], np.sqrt(-2 * np.log(s[good]) / s[good])
-            out[at], self.spare[at] = u[good] * f, v[good] * f
-            todo = todo[~good]
-        return out
+        out, self.spare = self.spare, None
+        if out is not None:
+            return out
+        u, v = 2 * self.uniform() - 1, 2 * self.uniform() - 1
+        s = u * u + v * v
+        todo = np.flatnonzero((s <= 0) | (s >= 1))
+        while len(todo):  # a fifth of the pairs lies outside of the circle
+            u[todo], v[todo] = 2 * self.uniform(todo) - 1, 2 * self.uniform(todo) - 1
+            s[todo] = u[todo] ** 2 + v[todo] ** 2
+            todo = todo[(s[todo] <= 0) | (s[todo] >= 1)]
+        f = np.sqrt(-2 * np.log(s) / s)
+        self.spare = v * f
+        return u * f
 
     def blocks(self, n: int, length: int, block: float) -> np.ndarray:
         """(streams, length) places of a stationary bootstrap over n observations."""
-        out = np.empty((len(self.spare), length), np.int64)
+        out = np.empty((self.n, length), np.int64)
         pos = self.index(n)
         out[:, 0] = pos
         for t in range(1, length):

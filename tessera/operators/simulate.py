@@ -18,7 +18,7 @@ from ..functions import scalar
 from ..functions.rng import Streams
 
 YEAR = 252.0
-PATHS_AT_ONCE = 2048
+PATHS_AT_ONCE = 4096
 PATH = "path long, terminal double, max_drawdown double"
 
 
