@@ -214,7 +214,7 @@ def unitigs(found: Table) -> DataFrame:
     tidy(spark, linked)
     chains = saved(chained.df.groupBy("doc", "mark", "chain").agg(F.min(F.struct("first", "edge", "g1", "g2")).alias("s"), F.sum("size").alias("size")))
     # a chain's head may be inside another document's chain: the unitig goes on to the left
-    heads = chains.select(F.col("s.g1").alias("g1"), F.col("s.g2").alias("g2")).distinct().join(straight.select("g1", "g2"), ["g1", "g2"])
+    heads = saved(chains.select(F.col("s.g1").alias("g1"), F.col("s.g2").alias("g2")).distinct().join(straight.select("g1", "g2"), ["g1", "g2"]))
     within = chained.df.join(heads, ["g1", "g2"]).join(chains.select("doc", "mark", "chain", "s"), ["doc", "mark", "chain"]).where("first > s.first")
     jump = saved(within.groupBy("g1", "g2").agg(F.max(F.struct(F.expr("first - s.first").alias("back"), F.col("s.g1").alias("h1"), F.col("s.g2").alias("h2"))).alias("j")).select("g1", "g2", "j.h1", "j.h2"))
     tidy(spark, chained)
