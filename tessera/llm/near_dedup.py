@@ -188,7 +188,7 @@ def possible(rows: DataFrame, sets: DataFrame, similarity: float, rounds: int =
         alone = each.groupBy("s").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("alone"))
         met = sizes.join(ids, "id").join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
         told = saved(rows.select("bucket", "narrow", "id").join(met.where(F.col("c") >= F.lit(similarity - 1e-9) * F.col("n")), "id"))
-        least = told.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("members")).where("members > 1")
+        least = saved(told.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("members")).where("members > 1"))
         fits = F.col("least") <= F.col("c") * F.lit((1 + similarity) / similarity + 1e-9) - F.col("n")
         rows = saved(told.join(least, "bucket").where(fits).select("bucket", "narrow", "id", "n", "c"))
         now = rows.count()
@@ -258,7 +258,8 @@ def _links(base: DataFrame, same: DataFrame, similarity: float, counted: bool, p
     of_one = F.transform("bands", lambda x: F.struct(x.alias("bucket"), F.lit(False).alias("narrow")))
     every = signed.select("doc_id", "bands").join(stands, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode(F.concat(of_one, pairs_of_bands)).alias("x"))
     marks = saved(every.select("id", "x.bucket", "x.narrow"))
-    shared = marks.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # aggregates are written before rows are joined with them: the join can then split a full bucket's rows
+    shared = saved(marks.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     rows = saved(marks.join(shared, "bucket"))
     hubs = saved(rows.groupBy("id").agg(F.sum("n").alias("hub")))
     if not hubs.limit(1).count():
@@ -278,8 +279,8 @@ def _links(base: DataFrame, same: DataFrame, similarity: float, counted: bool, p
     while True:
         live = active
         if turn:
-            apart = live.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-            live = saved(live.join(apart.select("bucket", "members"), "bucket"))
+            apart = saved(live.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("bucket", "members"))
+            live = saved(live.join(apart, "bucket"))
             if not live.limit(1).count():
                 return links
             draw = F.pmod(F.xxhash64("bucket", "id", F.lit(turn)), F.lit(1 << 30)).cast("double") / float(1 << 30)
