@@ -325,7 +325,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     counts = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
     places = pieces.sparkSession.sparkContext.broadcast(_places(pack_lengths(counts, capacity)))  # patterns over `capacity` lengths
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    # written first: the join then deals pieces by length and task, and not by length alone
+    offsets = saved(by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
     ranked = pieces.join(offsets, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
