@@ -296,11 +296,11 @@ _labels = lambda s, d: regimes.classify(market.lines(s, d))
 query("regime_labels", "ticker date:d trend volatility", _REG + "SELECT * FROM reg")(_labels)
 query("regime_expanding_terciles", "ticker date:d realized_vol:6 low_cut:6 high_cut:6", _REG + "SELECT * FROM reg")(_labels)
 query("regime_counts", "ticker trend volatility days:i", _REG + "SELECT ticker, trend, volatility, count(*) AS days FROM reg GROUP BY GROUPING SETS ((ticker), (ticker, trend), (ticker, volatility))")(lambda s, d: regimes.counts(_labels(s, d)))
-_BRK = _REG + f""", tg AS (SELECT ticker, lead(date) OVER ({W}) AS date, trend, volatility FROM reg), j AS (SELECT l.ticker, l.date, l.ret * 0.02::DOUBLE AS ret, unnest(['All', trend, volatility]) AS regime FROM lr l JOIN tg USING (ticker, date)),
+_BRK = _REG + f""", tg AS (SELECT ticker, lead(date) OVER ({W}) AS date, trend, volatility FROM reg), j AS (SELECT l.ticker, l.date, l.ret * 0.002::DOUBLE AS ret, unnest(['All', trend, volatility]) AS regime FROM lr l JOIN tg USING (ticker, date)),
 bw AS (SELECT *, product(1 + ret) OVER (PARTITION BY ticker, regime ORDER BY date) AS wealth FROM j), bp AS (SELECT *, greatest(1.0::DOUBLE, max(wealth) OVER (PARTITION BY ticker, regime ORDER BY date)) AS peak FROM bw),
 bt AS (SELECT ticker, regime, count(*) AS days, arg_max(wealth, date) - 1 AS total_return, {_SHARPE} AS sharpe, max((peak - wealth) / peak) AS max_drawdown FROM bp GROUP BY 1, 2),
 dim AS (SELECT DISTINCT ticker, unnest(['All', 'Bull', 'Bear', 'TrendUnknown', 'LowVol', 'MidVol', 'HighVol', 'VolUnknown']) AS regime FROM lr) """
-query("regime_breakdown_grouping_sets", "ticker regime days:i total_return:4 sharpe:4 max_drawdown:6", _BRK + "SELECT ticker, regime, coalesce(days, 0) AS days, coalesce(total_return, 0) AS total_return, coalesce(sharpe, 0) AS sharpe, coalesce(max_drawdown, 0) AS max_drawdown FROM dim LEFT JOIN bt USING (ticker, regime)")(lambda s, d: regimes.breakdown(_labels(s, d), _ret(s, d).withColumn("ret", F.col("ret") * 0.02)))
+query("regime_breakdown_grouping_sets", "ticker regime days:i total_return:4 sharpe:4 max_drawdown:6", _BRK + "SELECT ticker, regime, coalesce(days, 0) AS days, coalesce(total_return, 0) AS total_return, coalesce(sharpe, 0) AS sharpe, coalesce(max_drawdown, 0) AS max_drawdown FROM dim LEFT JOIN bt USING (ticker, regime)")(lambda s, d: regimes.breakdown(_labels(s, d), _ret(s, d).withColumn("ret", F.col("ret") * 0.002)))
 
 # portfolios
 
