@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -64,6 +67,9 @@ def tidy(spark: SparkSession, *tables: Table) -> None:
 
 def with_text(docs: DataFrame, *more, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, more): null texts are empty ones; other columns go, whatever their names."""
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH) == "10000":  # Spark's own: whole texts make batches of tens of megabytes, several times in memory
+        conf.set(_BATCH, "1000")
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 

@@ -40,7 +40,7 @@ DIM = 24
 NOISE = 64
 BATCH = 1024
 RATE = 0.3
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 HELD_OUT = (7, 2)  # crc32 of the identifier modulo 7 is 2
 SEED = 31
 
