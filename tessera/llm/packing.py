@@ -41,7 +41,7 @@ END = 1
 #: Words that a worker keeps with their ids.
 CACHED_WORDS = 800_000
 #: Words without their punctuation that it keeps besides.
-CACHED_PARTS = 200_000
+CACHED_PARTS = 400_000
 
 
 def default_tokenizer() -> str:
@@ -154,7 +154,7 @@ def _pieces(path: str, capacity: int):
         schema, task = arrow_schema(_PIECES), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         end = END.to_bytes(4, "little")
-        for batch in blocks(batches, 1 << 20):
+        for batch in blocks(batches, 2 << 20):
             out = []
             for doc_id, ids in zip(column(batch, "doc_id"), token_ids(text_bytes(batch), path)):
                 ids += end
@@ -327,7 +327,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     # written first: the join then deals pieces by length and task, and not by length alone
     offsets = saved(by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
-    ranked = pieces.join(offsets, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    ranked = pieces.join(offsets.hint("merge"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
