@@ -356,7 +356,7 @@ def _history(s, d):
 
 
 query("politis_white", "block:6")(lambda s, d: s.createDataFrame([(float(significance.block_length(_history(s, d))),)], "block double"))
-query("bootstrap_sharpe", "estimate:6 low:6 high:6 error:6 p_one_sided:6 p_two_sided:6")(lambda s, d: (lambda x: significance.bootstrap_summary(significance.bootstrap_sharpe(s, x[:750], resamples=500), "sharpe", float(significance.sharpe_of(x[:750]))))(_history(s, d)))
+query("bootstrap_sharpe", "estimate:6 low:6 high:6 error:6 p_one_sided:6 p_two_sided:6")(lambda s, d: (lambda x: significance.bootstrap_summary(significance.bootstrap_sharpe(s, x), "sharpe", float(significance.sharpe_of(x))))(_history(s, d)))
 
 
 @query("spa_test", "rc_statistic:6 spa_statistic:6 block:4 p_rc:6 p_lower:6 p_consistent:6 p_upper:6")
@@ -365,14 +365,14 @@ def _(s, d):
     return significance.predictive_ability(s, __import__("numpy").stack(x[:2]), x[2], resamples=500)
 
 
-query("mc_bootstrap", "paths:i mean:6 std:6 p05:6 p50:6 p95:6 dd95:6 p_loss:6 var_95:6 cvar_95:6")(lambda s, d: simulate.summarise(simulate.bootstrap_paths(s, _history(s, d), 5_000)))
-query("mc_gbm_fitted", "paths:i mean:6 std:6 p05:6 p50:6 p95:6 dd95:6 p_loss:6 var_95:6 cvar_95:6")(lambda s, d: simulate.summarise(simulate.fitted_gbm_paths(s, _history(s, d), 5_000)))
+query("mc_bootstrap", "paths:i mean:6 std:6 p05:6 p50:6 p95:6 dd95:6 p_loss:6 var_95:6 cvar_95:6")(lambda s, d: simulate.summarise(simulate.bootstrap_paths(s, _history(s, d))))
+query("mc_gbm_fitted", "paths:i mean:6 std:6 p05:6 p50:6 p95:6 dd95:6 p_loss:6 var_95:6 cvar_95:6")(lambda s, d: simulate.summarise(simulate.fitted_gbm_paths(s, _history(s, d))))
 
 
 @query("mc_gbm_portfolio", "paths:i mean:6 std:6 p05:6 p50:6 p95:6 dd95:6 p_loss:6 var_95:6 cvar_95:6")
 def _(s, d):
     _t, mu, cov = optimize.inputs(_common(s, d).withColumn("ret", F.col("ret") * 0.02))
-    return simulate.summarise(simulate.gbm_portfolio_paths(s, mu, cov / 252, mu * 0 + 1 / len(mu), 5_000))
+    return simulate.summarise(simulate.gbm_portfolio_paths(s, mu, cov / 252, mu * 0 + 1 / len(mu)))
 
 
 query("gbm_price_paths", "path:i day:i price:4")(lambda s, d: simulate.gbm_price_paths(s, 100.0, 0.08, 0.2, 20, 50))
