@@ -361,8 +361,8 @@ query("bootstrap_sharpe", "estimate:6 low:6 high:6 error:6 p_one_sided:6 p_two_s
 
 @query("spa_test", "rc_statistic:6 spa_statistic:6 block:4 p_rc:6 p_lower:6 p_consistent:6 p_upper:6")
 def _(s, d):
-    x = [significance.series(_ret(s, d).where(f"ticker = '{t}'"))[:500] * 0.02 for t in "ANR"]
-    return significance.predictive_ability(s, __import__("numpy").stack(x[:2]), x[2], resamples=500)
+    x = [significance.series(_common(s, d).where(f"ticker = '{t}'")) * 0.02 for t in "ANR"]
+    return significance.predictive_ability(s, __import__("numpy").stack(x[:2]), x[2])
 
 
 query("mc_bootstrap", "paths:i mean:6 std:6 p05:6 p50:6 p95:6 dd95:6 p_loss:6 var_95:6 cvar_95:6")(lambda s, d: simulate.summarise(simulate.bootstrap_paths(s, _history(s, d))))

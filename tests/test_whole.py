@@ -37,3 +37,15 @@ def test_bootstrap_reads_the_whole_history(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["mc_bootstrap", "mc_gbm_fitted", "mc_gbm_portfolio"])
 def test_simulations_draw_the_default_paths(spark, name):
     assert queries.QUERIES[name](spark, SF).first().paths == 50_000 == inspect.signature(simulate.bootstrap_paths).parameters["paths"].default
+
+
+def test_predictive_ability_reads_whole_series_by_date(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"  # most days are common to all
+    seen = asked(monkeypatch, significance, "predictive_ability")
+    assert queries.QUERIES["spa_test"](spark, sf).count() == 1
+    by_date = {}
+    for r in queries._common(spark, sf).collect():
+        by_date.setdefault(r.date, {})[r.ticker] = r.ret * 0.02
+    want = np.array([[by_date[x][t] for x in sorted(by_date)] for t in "ANR"])
+    assert want.shape[1] > 500 and seen[0]["resamples"] == 10_000
+    assert np.allclose(np.vstack([seen[0]["strategies"], seen[0]["benchmark"]]), want, rtol=1e-9)
