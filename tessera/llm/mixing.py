@@ -33,8 +33,12 @@ TOPICS = 8
 
 
 def topic_of(text: Column, topics: int = TOPICS) -> Column:
-    """A stand-in where no topic column is given: a hash class of the text's first word."""
-    return F.pmod(F.crc32(F.lower(F.substring_index(F.substring(F.ltrim(text), 1, 64), " ", 1))), F.lit(topics)).cast("string")
+    """A stand-in where no topic column is given: the hash class that most of the text's distinct words fall into, the first of equal ones."""
+    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    hashes = F.array_distinct(F.transform(words, lambda w: F.crc32(w)))
+    none = F.array_repeat(F.lit(0), topics)
+    counts = lambda n, h: F.transform(n, lambda x, i: x + F.when(i == F.pmod(h, F.lit(topics)), 1).otherwise(0))
+    return F.aggregate(hashes, none, counts, lambda n: F.array_position(n, F.array_max(n)) - 1).cast("string")
 
 
 def n_tokens(text: Column) -> Column:
