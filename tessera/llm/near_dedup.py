@@ -6,18 +6,19 @@ regions, assigns them to the k coordinates by their hash, and keeps the earliest
 coordinate with the probability of their weighted Jaccard similarity. Coordinates are joined to bands; documents that
 agree in a whole band are candidates. Elements are shingles of five words, of weight 1 or their count.
 
-Documents whose words are the same are one text; only one document stands for it from then on. Shingles
-that stand in no other candidate bound a text's similarity to all others; texts that can't reach the threshold go first (``possible``). Inside a band's bucket, pairs
-are not all emitted: in a first round each member meets one leader, the member that stands in the fullest buckets. Then
-classes are formed, and only members of different classes in a bucket go on to meet, in rounds with four times as many leaders
-each; a leader that has met its whole bucket leaves it. In the last round all that are left lead. So every two
-texts in a bucket have either met or are in one class already: no link is lost, and a large group of copies costs a star. A pair's
-signatures must agree in ``prefilter`` coordinates; then its shingle sets are compared as a whole.
+Rows whose words are the same are one text. In a band's bucket each text meets one leader, the text that stands in the
+fullest buckets; signatures must agree in enough coordinates, then the shingle multisets are compared as a whole. Checked links make
+classes. Only texts that share a bucket with a text of another class, neither being its leader, go on: they meet where they share
+one of the rare shingles that similar texts must share (``_residual``), and are checked alike. So of any two texts in a bucket
+either a pair was ruled out or checked, or they are in one class: no link is lost, and a large group of copies costs a star.
 
 Defined cases: words are those between ASCII blanks, with A-Z lowered; a text of fewer than five words has all of them as
-its one shingle; texts without words (null among them) form one class; repeated rows and equal texts are one class; an identifier that several
-texts share is linked to whatever any of them is linked to; an empty table
-gives no rows; other columns are ignored; very long texts are taken whole.
+its one shingle; texts without words (null among them) are one class; repeated rows and equal texts are one class, and one row
+of a class is kept: the one with the smallest identifier, then text hash, then any one of rows that repeat as a whole. Rows
+without identifier are compared as all others; a class without any identifier is known by a negative number, texts of it have a null
+text_id. Rows that share an identifier but not their words are
+texts apart: their classes may have the same class_id, never the same class_key. An empty table gives no rows; other columns are
+ignored, whatever their names; very long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,19 +36,19 @@ from .words import hash_words, mixed, span_hashes, window_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 16, 4
-COORDINATES = BANDS * ROWS
-#: At 0.8, 51 of 64 coordinates agree, give or take 3.2; 34 is over five deviations below.
-PREFILTER = 34
+COORDINATES = 64
 
 
 def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(document index, hash) of every shingle, in order, repeats included."""
-    h, starts = hash_words([t.lower() for t in texts])
+    return _shingled(*hash_words([t.lower() for t in texts]), size)
+
+
+def _shingled(h: np.ndarray, starts: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(starts)
     every = window_hashes(h, size)
     many = np.maximum(n - size + 1, 0)
-    doc = np.repeat(np.arange(len(texts)), many)
+    doc = np.repeat(np.arange(len(n)), many)
     offset = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
     wide = every[np.repeat(starts[:-1], many) + offset] if len(doc) else np.zeros(0, np.uint64)
     short = np.flatnonzero((n > 0) & (n < size))
@@ -113,7 +115,7 @@ def dart_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
     return out
 
 
-def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def band_hashes(signature: np.ndarray, bands: int = 16) -> np.ndarray:
     rows = signature.reshape(len(signature), bands, -1)
     h = np.zeros(rows.shape[:2], np.uint64)
     for r in range(rows.shape[2]):
@@ -121,29 +123,25 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return mixed(h + _GOLD * np.arange(1, bands + 1, dtype=np.uint64))
 
 
-def _texts_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A 128-bit hash of each text's words."""
-    schema = arrow_schema("doc_id long, t1 long, t2 long")
-    for batch in blocks(batches, 1 << 20):
-        h, at = hash_words([t.lower() for t in text_bytes(batch)])
-        keys = [span_hashes(h, at[:-1], at[1:], salt).view(np.int64) for salt in (1, 2)]
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), *map(pa.array, keys)], schema=schema)
-
+_KEYED = "doc_id long, row long, mark long, t1 long, t2 long, signature binary, bands array<long>"
 
-_SIGNED = "doc_id long, signature binary, bands array<long>"
 
+def _keyed(counted: bool, bands: int):
+    """Of each row: a number of its own in random order, a 128-bit hash of its words, its signature and bands (none without words)."""
 
-def _signed(counted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(_SIGNED)
+        schema = arrow_schema(_KEYED)
         for batch in blocks(batches, 1 << 20):
-            texts = text_bytes(batch)
-            doc, element, weight = weights(*shingles(texts), counted)
+            texts, of = text_bytes(batch), batch.schema.get_field_index
+            h, at = hash_words([t.lower() for t in texts])
+            doc, element, weight = weights(*_shingled(h, at), counted)
             signature = dart_minhash(doc, element, weight, len(texts))
-            real = np.unique(doc)  # texts without words need no candidates
-            short = signature.astype("<u2")  # 16 bits of a coordinate tell if it agrees
-            rows = [batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).take(pa.array(real)), pa.array([x.tobytes() for x in short[real]], pa.binary()), pa.array(list(band_hashes(signature)[real].view(np.int64)), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(rows, schema=schema)
+            real = np.diff(at) > 0
+            named = [pa.array(list(band_hashes(signature, bands).view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in signature.astype("<u2")], pa.binary())]  # 16 bits of a coordinate tell if it agrees
+            named = [pa.compute.if_else(pa.array(real), x, pa.scalar(None, x.type)) for x in named]
+            row = mixed(batch.column(of("row")).to_numpy(zero_copy_only=False).astype(np.uint64)).view(np.int64)
+            words = [pa.array(span_hashes(h, at[:-1], at[1:], salt).view(np.int64)) for salt in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(of("doc_id")).cast(pa.int64()), pa.array(row), batch.column(of("mark")), *words, named[1], named[0]], schema=schema)
 
     return run
 
@@ -175,141 +173,138 @@ def _agreeing(least: int):
     return run
 
 
-def possible(rows: DataFrame, sets: DataFrame, similarity: float, rounds: int = 5) -> DataFrame:
-    """Those of ``rows`` (bucket, narrow, id) whose text may have a partner in the bucket.
+def _scattered(x: str) -> str:
+    """SQL for a bijection of longs that leaves no order: four Feistel rounds on halves of 32 bits."""
+    low, high = f"({x} & 4294967295L)", f"shiftrightunsigned({x}, 32)"
+    for k in (0x5BD1E995, 0x2C1B3C6D, 0x297A2D39, 0x7FEB352D):
+        low, high = f"({high} ^ (shiftrightunsigned({low} * {k}L, 13) & 4294967295L))", low
+    return f"(shiftleft({high}, 32) | {low})"
 
-    Of n shingles of x, c stand in any other candidate. A partner of y shingles shares c at most, so J <= c / (n + y - c): c must
-    be at least J n, and some text in the bucket small enough. What goes takes its shingles with it; so again.
-    """
-    sizes, before = sets.select("id", F.size("shingles").alias("n")).distinct(), None
-    for _ in range(rounds):
-        ids = saved(rows.select("id").distinct())
-        each = sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("s"))
-        alone = each.groupBy("s").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("alone"))
-        met = sizes.join(ids, "id").join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
-        told = saved(rows.select("bucket", "narrow", "id").join(met.where(F.col("c") >= F.lit(similarity - 1e-9) * F.col("n")), "id"))
-        least = saved(told.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("members")).where("members > 1"))
-        fits = F.col("least") <= F.col("c") * F.lit((1 + similarity) / similarity + 1e-9) - F.col("n")
-        rows = saved(told.join(least, "bucket").where(fits).select("bucket", "narrow", "id", "n", "c"))
-        now = rows.count()
-        if before and now > 0.9 * before:
-            break
-        before = now
-    return rows
-
-
-def components(edges: DataFrame) -> DataFrame:
+
+def components(edges: DataFrame, scattered: bool = False) -> DataFrame:
     """(id, label): the smallest id that edges (a, b) join each id to; only ids with edges.
 
-    Labels fall to the least label of any neighbour, then to their label's label, until nothing changes: rounds grow
-    with the logarithm of a component's width.
+    Each id goes to the least of its neighbours and itself, and edges go along, until none is left between two ids: a star
+    is gone in two rounds, a path in a number that grows with the logarithm of its length, as long as ids are in random order.
+    scattered: they are. Every join is of two tables or exchanges with one row for an id in the second, so that adaptive execution
+    splits the rows of a hub.
     """
-    both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
+    if not scattered:
+        first = edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("id"), F.expr(_scattered("a")).alias("x"))
+        found = first.join(components(edges.select(*(F.expr(_scattered(c)).alias(c) for c in "ab")), True).withColumnRenamed("id", "x"), "x")
+        least = saved(found.groupBy("label").agg(F.min("id").alias("least")))
+        return found.join(least, "label").select("id", F.col("least").alias("label"))
+    left = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    gone = None
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("m"))
-        fallen = labels.join(near, labels.id == near.a).select("id", F.least("label", "m").alias("label"))
-        far = fallen.select(F.col("id").alias("via"), F.col("label").alias("far"))
-        moved = saved(fallen.join(far, fallen.label == far.via, "left").select("id", F.least("label", F.coalesce("far", "label")).alias("label")))
-        if not moved.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count():
-            return moved
-        labels = moved
-
-
-def _meetings(rows: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (a, b) of leaders with members of their buckets that are in other classes, where sizes and shared shingles allow a link."""
-    bound = F.least("c", "leader_c") * F.lit((1 + similarity) / similarity + 1e-9)
-    # two texts that share several buckets meet in the least of them alone, and once if both lead there
-    here = F.col("narrow") | (F.col("bucket") == F.array_min(F.array_intersect("bands", "leader_bands")))
-    once = ~F.col("leads") | (F.col("leader") < F.col("id"))
-    pairs = rows.join(leaders, "bucket").where((F.col("label") != F.col("leader_label")) & (bound >= F.col("n") + F.col("leader_n")) & once & here)
-    return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weight: str = "set", prefilter: int = PREFILTER, **cols) -> DataFrame:
-    """(doc_id, text_id, class_id, class_size, kept), a row for each row of ``docs``.
-
-    text_id: the smallest identifier of the same words; class_id: the smallest of the class, whose document is kept.
-    weight: "set" compares sets of shingles, "count" weighs a shingle by how often it stands.
+        both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("to")))
+        if gone is None:
+            gone = step.withColumnRenamed("to", "label")
+        else:
+            gone = saved(gone.join(step.withColumnRenamed("id", "label"), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+        half = left.join(step.select(F.col("id").alias("a"), F.col("to").alias("ta")), "a").select("ta", "b")
+        moved = half.join(step.select(F.col("id").alias("b"), F.col("to").alias("tb")), "b").where("ta <> tb")
+        left = saved(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        if left.isEmpty():
+            return gone
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float, *more: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets are as similar as asked."""
+    first, second = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"x{c}")) for c in "ab")
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", *more, F.size(F.array_intersect("xa", "xb")).alias("c"), (F.size("xa") + F.size("xb")).alias("s"))
+    return saved(both.where(F.col("c") >= F.lit(similarity - 1e-9) * (F.col("s") - F.col("c"))).select("a", "b", *more))
+
+
+def _residual(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """(la, lb): classes that checked links join, of texts that share a bucket with another class and haven't both met.
+
+    rows: (bucket, id, label) without leaders. A text's shingles are ordered by how many of these texts hold them, those
+    that only its own class holds first. Two texts of n and m shingles that are similar enough have one of their first
+    n - similarity n + 1 and m - similarity m + 1 in common, and enough after it: only such meet.
+    """
+    apart = saved(rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket"))
+    if apart.isEmpty():
+        return None
+    some = rows.join(apart, "bucket").select("id", "label").distinct()
+    held = saved(sets.join(some, "id").select("id", "label", F.size("shingles").alias("n"), "shingles"))
+    each = held.select("id", "label", "n", F.explode("shingles").alias("s"))
+    across = saved(each.groupBy("s").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s", "df"))
+    need = F.ceil(F.lit(similarity - 1e-9) * F.col("n"))
+    mine = each.join(across, "s").groupBy("id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x")).where(F.size("x") >= need)  # of one text
+    # place: where the shingle stands in the text's order, from 0
+    first = F.slice("x", 1, (F.size("x") - need + 1).cast("int"))
+    listed = saved(mine.select("id", "label", "n", F.size("x").alias("c"), F.posexplode(first).alias("k", "y")).select("id", "label", "n", F.col("y.s").alias("s"), (F.col("n") - F.col("c") + F.col("k")).alias("place")))
+    a, b = (listed.select("s", F.col("id").alias(c), F.col("label").alias(f"l{c}"), F.col("n").alias(f"n{c}"), F.col("place").alias(f"p{c}")) for c in "ab")
+    enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * F.lit((1 + similarity) / similarity + 1e-9) >= F.col("na") + F.col("nb")
+    pairs = saved(a.join(b, "s").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & enough).select("a", "b", "la", "lb").distinct())
+    return _checked(pairs, held, similarity, "la", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+
+
+def shape_for(similarity: float) -> tuple[int, int]:
+    """(bands, prefilter): the fewest bands that a pair at the threshold misses with a probability under 0.001; coordinates that agree all but surely."""
+    bands = next(b for b in (4, 8, 16, 32, 64) if (1 - similarity ** (COORDINATES // b)) ** b < 1e-3)
+    return bands, max(0, int(COORDINATES * similarity - 5.3 * (COORDINATES * similarity * (1 - similarity)) ** 0.5))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weight: str = "count", **cols) -> DataFrame:
+    """(doc_id, text_id, class_id, class_size, kept, mark, class_key), a row for each row of ``docs``.
+
+    text_id: the smallest identifier of the same words; class_id: the smallest of the class, one of whose rows with it is kept;
+    mark: xxhash64 of the text, to tell rows of one identifier apart; class_key: a number of the class's own, the same for no two.
+    weight: "count" weighs a shingle by how often it stands, "set" compares sets.
     """
-    counted = weight == "count"
-    base = with_text(docs, **cols)
-    keyed = saved(base.mapInArrow(_texts_keyed, "doc_id long, t1 long, t2 long"))
-    same = saved(keyed.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
-    links = _links(base, same, similarity, counted, prefilter)
-    texts = same
-    if links is not None:
-        labels = components(links)
-        texts = same.join(labels, "id", "left").select("t1", "t2", "id", "n", F.coalesce("label", "id").alias("label"))
+    counted, (bands, prefilter) = weight == "count", shape_for(similarity)
+    base = with_text(docs, **cols).withColumn("mark", F.xxhash64("text"))
+    keyed = saved(base.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_keyed(counted, bands), _KEYED))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "row"))
+    one = F.min(F.struct("row", "doc_id", "mark", "signature", "bands"))  # of rows with the same words
+    nodes = saved(keyed.groupBy("t1", "t2").agg(one.alias("one"), F.count("*").alias("copies"), best.alias("best")).select(F.col("one.row").alias("id"), "t1", "t2", "copies", "best", "one"))
+    labels = _labels(base, nodes, similarity, counted, prefilter)
+    if labels is not None:
+        texts = nodes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     else:
-        texts = same.withColumn("label", F.col("id"))
-    sizes = texts.groupBy(F.col("label").alias("class_id")).agg(F.sum("n").alias("class_size"))
-    told = texts.join(sizes, F.col("label").eqNullSafe(F.col("class_id"))).select("t1", "t2", "id", "class_id", "class_size")
-    out = keyed.join(told, ["t1", "t2"]).select("doc_id", F.col("id").alias("text_id"), "class_id", "class_size")
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
-
-
-def _links(base: DataFrame, same: DataFrame, similarity: float, counted: bool, prefilter: int) -> DataFrame | None:
-    """(a, b): checked links between ids of different texts, enough to join every class; None without any candidates."""
-    signed = saved(base.mapInArrow(_signed(counted), _SIGNED))
-    stands = same.select(F.col("id").alias("doc_id")).where("doc_id is not null")
-    # buckets of two bands each meet first: nearer texts, more links, and fewer that are left to meet in buckets of one
-    pairs_of_bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 2), F.lit(2)), lambda k: F.struct(F.xxhash64(F.get("bands", k), F.get("bands", k + 1)).alias("bucket"), F.lit(True).alias("narrow")))
-    of_one = F.transform("bands", lambda x: F.struct(x.alias("bucket"), F.lit(False).alias("narrow")))
-    every = signed.select("doc_id", "bands").join(stands, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode(F.concat(of_one, pairs_of_bands)).alias("x"))
-    marks = saved(every.select("id", "x.bucket", "x.narrow"))
+        texts = nodes.withColumn("label", F.col("id"))
+    texts = saved(texts)
+    classes = saved(texts.groupBy("label").agg(F.sum("copies").alias("class_size"), F.min("best").alias("first")))
+    told = saved(texts.join(classes, "label").select("t1", "t2", F.col("best.doc_id").alias("text_id"), F.coalesce("first.doc_id", F.least(F.col("label"), -F.col("label") - 1)).alias("class_id"), "class_size", F.col("first.row").alias("first_row")))
+    out = keyed.join(told, ["t1", "t2"])
+    return out.select("doc_id", "text_id", "class_id", "class_size", (F.col("row") == F.col("first_row")).alias("kept"), "mark", F.col("first_row").alias("class_key"))
+
+
+def _labels(base: DataFrame, nodes: DataFrame, similarity: float, counted: bool, prefilter: int) -> DataFrame | None:
+    """(id, label) of texts in classes of several; None without any candidates."""
     # aggregates are written before rows are joined with them: the join can then split a full bucket's rows
+    marks = nodes.select("id", F.explode("one.bands").alias("bucket"))
     shared = saved(marks.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    rows = saved(marks.join(shared, "bucket"))
-    hubs = saved(rows.groupBy("id").agg(F.sum("n").alias("hub")))
-    if not hubs.limit(1).count():
+    if shared.isEmpty():
         return None
-    shown = hubs.select(F.col("id").alias("doc_id"))
-    signatures = saved(signed.select("doc_id", "signature").join(shown, "doc_id", "left_semi").withColumnRenamed("doc_id", "id"))
-    sets = saved(base.join(shown, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets(counted), "id long, shingles array<long>"))
+    rows = saved(marks.join(shared, "bucket"))
+    hubs = rows.groupBy("id").agg(F.sum("n").alias("hub"))
+    known = saved(hubs.join(nodes.select("id", F.coalesce("one.doc_id", F.lit(-(1 << 63))).alias("doc"), "one.mark", "one.signature"), "id"))
+    places = saved(rows.join(known.select("id", "hub", "signature"), "id"))
+    # a bucket's members meet its leader, the one that stands in the fullest buckets
+    leaders = saved(places.groupBy("bucket").agg(F.max(F.struct("hub", "id", "signature")).alias("top")).select("bucket", F.col("top.id").alias("a"), F.col("top.signature").alias("sa")))
+    met = saved(places.join(leaders, "bucket").where("id <> a").select("bucket", "n", "a", F.col("id").alias("b"), "sa", F.col("signature").alias("sb")))
+    near = saved(met.select("a", "b", "sa", "sb").mapInArrow(_agreeing(prefilter), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # a bucket of two is done; texts of larger ones may have partners beside the leader
+    rest = met.where("n > 2").select("bucket", F.col("b").alias("id"))
+    shown = saved(known.select("id", "doc", "mark").join(rest.select("id").union(near.select("a")).union(near.select("b")), "id", "left_semi"))
+    texts = base.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "mark", "text").join(shown, ["doc", "mark"]).groupBy("id").agg(F.min("text").alias("text"))  # rows that repeat, once
+    sets = saved(texts.mapInArrow(_sets(counted), "id long, shingles array<long>"))
     tidy(base.sparkSession)
-    # what can't have a partner leaves; a bucket that is left with one text as well
-    rows = possible(rows.drop("n"), sets, similarity)
-    rows = saved(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "bucket"))
-    hubs = saved(rows.groupBy("id").agg(F.sum("members").alias("hub")))
-    bands = signed.select(F.col("doc_id").alias("id"), "bands").join(hubs.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    carried = ("bucket", "narrow", "id", "n", "c", "hub", "bands")
-    active = saved(rows.join(hubs, "id").join(bands, "id").select(*carried, F.col("id").alias("label")))
-    links, tested, turn = None, None, 0
-    while True:
-        live = active
-        if turn:
-            apart = saved(live.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("bucket", "members"))
-            live = saved(live.join(apart, "bucket"))
-            if not live.limit(1).count():
-                return links
-            draw = F.pmod(F.xxhash64("bucket", "id", F.lit(turn)), F.lit(1 << 30)).cast("double") / float(1 << 30)
-            live = live.withColumn("leads", draw * F.col("members") < float(4**turn))
-            leaders = live.where("leads").select("bucket", F.col("id").alias("leader"), F.col("label").alias("leader_label"), F.col("n").alias("leader_n"), F.col("c").alias("leader_c"), F.col("bands").alias("leader_bands"))
-        else:
-            live = live.withColumn("leads", F.lit(False))
-            top = live.groupBy("bucket").agg(F.max(F.struct("hub", F.negate("id").alias("less"), "n", "c", "bands")).alias("top"))
-            leaders = saved(top.select("bucket", F.negate("top.less").alias("leader"), F.negate("top.less").alias("leader_label"), F.col("top.n").alias("leader_n"), F.col("top.c").alias("leader_c"), F.col("top.bands").alias("leader_bands")))
-        pairs = _meetings(live, leaders, similarity)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = saved(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        left, right = (signatures.select(F.col("id").alias(c), F.col("signature").alias(f"s{c}")) for c in "ab")
-        near = saved(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing(prefilter), "a long, b long"))
-        left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"x{c}")) for c in "ab")
-        common = F.size(F.array_intersect("xa", "xb"))
-        checked = near.join(left, "a").join(right, "b").select("a", "b", common.alias("c"), (F.size("xa") + F.size("xb")).alias("s"))
-        made = saved(checked.where(F.col("c") >= F.lit(similarity) * (F.col("s") - F.col("c"))).select("a", "b"))
-        links = made if links is None else links.union(made)
-        # leaders have met all of their buckets and leave them; the others go on under the labels of their classes
-        if turn:
-            rest = live.where("not leads").select(*carried)
-        else:
-            rest = active.where("not narrow").select(*carried).join(leaders.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
-        labels = components(links)
-        active = saved(rest.join(labels, "id", "left").select(*carried, F.coalesce("label", "id").alias("label")))
-        turn += 1
+    links = _checked(near, sets, similarity)
+    labels = None if links.isEmpty() else components(links, True)
+    rest = rest.withColumn("label", F.col("id")) if labels is None else saved(rest.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")))
+    more = _residual(rest, sets, similarity)
+    if more is None or more.isEmpty():
+        return labels
+    joined = components(more, True)
+    if labels is None:
+        return joined
+    both = labels.join(joined.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    return saved(both.union(joined.join(labels.select("id"), "id", "left_anti").select("id", "label")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
