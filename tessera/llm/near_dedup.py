@@ -31,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, blocks, documents, saved, text_bytes, tidy, with_text
+from .common import Table, arrow_schema, blocks, documents, saved, text_bytes, tidy, with_text
 from .words import hash_words, mixed, span_hashes, window_hashes
 
 SHINGLE = 5
@@ -232,6 +232,7 @@ def _residual(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     each = held.select("id", "label", "n", F.explode("shingles").alias("s"))
     across = saved(each.groupBy("s").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s", "df"))
     need = F.ceil(F.lit(similarity - 1e-9) * F.col("n"))
+    tidy(sets.sparkSession)
     mine = each.join(across, "s").groupBy("id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x")).where(F.size("x") >= need)  # of one text
     # place: where the shingle stands in the text's order, from 0
     first = F.slice("x", 1, (F.size("x") - need + 1).cast("int"))
@@ -261,7 +262,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weight: str
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "row"))
     one = F.min(F.struct("row", "doc_id", "mark", "signature", "bands"))  # of rows with the same words
     nodes = saved(keyed.groupBy("t1", "t2").agg(one.alias("one"), F.count("*").alias("copies"), best.alias("best")).select(F.col("one.row").alias("id"), "t1", "t2", "copies", "best", "one"))
+    tidy(base.sparkSession)
     labels = _labels(base, nodes, similarity, counted, prefilter)
+    tidy(base.sparkSession)
     if labels is not None:
         texts = nodes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     else:
@@ -277,25 +280,29 @@ def _labels(base: DataFrame, nodes: DataFrame, similarity: float, counted: bool,
     """(id, label) of texts in classes of several; None without any candidates."""
     # aggregates are written before rows are joined with them: the join can then split a full bucket's rows
     marks = nodes.select("id", F.explode("one.bands").alias("bucket"))
-    shared = saved(marks.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    if shared.isEmpty():
+    shared = Table(marks.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    if shared.df.isEmpty():
         return None
-    rows = saved(marks.join(shared, "bucket"))
-    hubs = rows.groupBy("id").agg(F.sum("n").alias("hub"))
+    rows = Table(marks.join(shared.df, "bucket"))
+    tidy(base.sparkSession, shared)
+    hubs = rows.df.groupBy("id").agg(F.sum("n").alias("hub"))
     known = saved(hubs.join(nodes.select("id", F.coalesce("one.doc_id", F.lit(-(1 << 63))).alias("doc"), "one.mark", "one.signature"), "id"))
-    places = saved(rows.join(known.select("id", "hub", "signature"), "id"))
+    places = Table(rows.df.join(known.select("id", "hub", "signature"), "id"))
     # a bucket's members meet its leader, the one that stands in the fullest buckets
-    leaders = saved(places.groupBy("bucket").agg(F.max(F.struct("hub", "id", "signature")).alias("top")).select("bucket", F.col("top.id").alias("a"), F.col("top.signature").alias("sa")))
-    met = saved(places.join(leaders, "bucket").where("id <> a").select("bucket", "n", "a", F.col("id").alias("b"), "sa", F.col("signature").alias("sb")))
-    near = saved(met.select("a", "b", "sa", "sb").mapInArrow(_agreeing(prefilter), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    leaders = Table(places.df.groupBy("bucket").agg(F.max(F.struct("hub", "id", "signature")).alias("top")).select("bucket", F.col("top.id").alias("a"), F.col("top.signature").alias("sa")))
+    met = Table(places.df.join(leaders.df, "bucket").where("id <> a").select("bucket", "n", "a", F.col("id").alias("b"), "sa", F.col("signature").alias("sb")))
+    tidy(base.sparkSession, rows, places, leaders)
+    near = saved(met.df.select("a", "b", "sa", "sb").mapInArrow(_agreeing(prefilter), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # a bucket of two is done; texts of larger ones may have partners beside the leader
-    rest = met.where("n > 2").select("bucket", F.col("b").alias("id"))
+    rest = saved(met.df.where("n > 2").select("bucket", F.col("b").alias("id")))
     shown = saved(known.select("id", "doc", "mark").join(rest.select("id").union(near.select("a")).union(near.select("b")), "id", "left_semi"))
+    tidy(base.sparkSession, met)
     texts = base.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "mark", "text").join(shown, ["doc", "mark"]).groupBy("id").agg(F.min("text").alias("text"))  # rows that repeat, once
     sets = saved(texts.mapInArrow(_sets(counted), "id long, shingles array<long>"))
     tidy(base.sparkSession)
     links = _checked(near, sets, similarity)
     labels = None if links.isEmpty() else components(links, True)
+    tidy(base.sparkSession)
     rest = rest.withColumn("label", F.col("id")) if labels is None else saved(rest.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")))
     more = _residual(rest, sets, similarity)
     if more is None or more.isEmpty():
