@@ -46,7 +46,12 @@ class Table:
         self.path = f"{shared_dir(self.spark)}/tessera-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        atexit.register(_remove, self.spark, self.path)
+        self.own(self.spark, self.path)
+
+    @staticmethod
+    def own(spark: SparkSession, path: str) -> None:
+        """``path`` goes when Python exits."""
+        atexit.register(_remove, spark, path)
 
     def drop(self) -> None:
         """For tables that no later job reads."""
@@ -98,7 +103,7 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, name: str =
 
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow form of the plain types in a DDL string, for workers without a session."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "float": pa.float32(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "float": pa.float32(), "array<float>": pa.list_(pa.float32()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
 
 

@@ -1,43 +1,50 @@
 """Language-model scoring: a log-bilinear neural model trained by noise-contrastive estimation.
 
-A word is in a class: the ``FREQUENT`` most frequent training words are classes of their own, the others fall into hash
-classes. The model predicts the class of the next word from the two before it:
+Training words are ranked by their counts. The first 4 sqrt(V) of V distinct words are leaves of their own, so the model grows with
+the vocabulary that the corpus shows; the others share hash leaves, one for 16 own ones; the end of a text is the last leaf.
+Leaves stand in groups of about as many as there are groups, and a token's probability has two log-bilinear factors and a share:
 
-    score(c | a, b) = (C1 * r[b] + C2 * r[a]) . q[c] + bias[c],   P(c | a, b) = softmax
+    h = C1 * r[b] + C2 * r[a]                               (a, b: the leaves of the two tokens before)
+    P(group | h) = softmax(q1 . h + b1),  P(leaf | group, h) = softmax of q2 . h + b2 over the group's leaves
+    P(word | leaf) = 1 for own words, (count + 1) / (total + distinct + 1) in a hash leaf; unseen words share one place
 
-and a word given its class by its count there, (count + 1) / (total + distinct + 1): unseen words share one place. So token
-probabilities are normalised over all words. r, q, C1, C2 and the biases are learned in numpy by noise-contrastive
-estimation: seen classes against noise from the class frequencies, the noise shared by a batch, so that scores and gradients
-are matrix products. Biases begin at the log frequencies.
+Each factor adds up to 1, so token probabilities are normalised over all words at any vocabulary. All numbers are learned in
+numpy by noise-contrastive estimation: seen groups (leaves of a group) against noise from their frequencies, the noise
+shared by a batch, so that scores and gradients are matrix products. Biases begin at the log frequencies.
 
-Documents are dealt into chunks of about ``CHUNK_BYTES``. Every chunk's words are counted; all training documents train
-a copy of the model for one pass, chunk by chunk, and the copies are averaged by their tokens: nothing is sampled.
-Scoring joins each chunk with the counts of just its words; the softmax is computed once for each distinct context of a
-chunk, as a product of the contexts' matrix and q. Words are known by 64-bit hashes of their bytes.
+Documents are dealt into chunks by a hash of identifier and text, whatever their partitions, and stored bucketed by chunk:
+training and scoring read them where they are. Every chunk's training documents train a copy of the model from the chunk's own
+seed; copies are averaged by their tokens, in two steps of bounded groups. Nothing is sampled. Scoring meets each chunk with the counts of just
+its words. Words are known by 64-bit hashes of their bytes.
+
+Bounds: a chunk holds 16 MB, or 16 bytes times the square root of all bytes if that is more (160 MB of 100 TB); a model, which is
+broadcast, has ``MOST_OWN`` own leaves at most (some 30 MB), reached at a billion distinct words.
 
 Defined cases: a null or empty text is one end token; a null identifier counts as the text "null"; repeated rows count each and score
-alike; without any training documents all counts are 0 and the base is that of an empty table; an empty table gives no rows;
-other columns are ignored; very long texts are read whole.
+alike; of words with equal counts those with the smaller hash rank first; without any training documents all counts are 0 and the base is
+that of an empty table; an empty table gives no rows; other columns are ignored, whatever their names; very long texts are read whole.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, blocks, column, documents, saved, text_bytes, tidy, with_text
+from .common import Table, arrow_schema, blocks, column, documents, saved, shared_dir, text_bytes, tidy, with_text
 from .words import hash_words
 
-FREQUENT, HASHED = 448, 64
-CLASSES = FREQUENT + HASHED + 1  # the last one: the end, and what stands before a text
+OWN_PER_ROOT = 4
+MOST_OWN = 1 << 17
+OWN_PER_HASHED = 16
 DIM = 24
-NOISE = 64
+NOISE = 48
 BATCH = 1024
 RATE = 0.3
 CHUNK_BYTES = 16 << 20
@@ -45,113 +52,155 @@ HELD_OUT = (7, 2)  # crc32 of the identifier modulo 7 is 2
 SEED = 31
 
 
-def initial(frequency: np.ndarray) -> dict[str, np.ndarray]:
-    """Parameters before training, the same everywhere."""
+class Leaves:
+    """Where words go: own leaves first, by rank, then hash leaves, then the end; and the groups of consecutive leaves."""
+
+    def __init__(self, own: list[int]):
+        place = np.array(own, np.int64).view(np.uint64)
+        self.own, self.hashed = len(own), max(4, len(own) // OWN_PER_HASHED)
+        self.n = self.own + self.hashed + 1
+        self.size = isqrt(self.n - 1) + 1
+        self.groups = -(-self.n // self.size)
+        self.of = np.argsort(place)
+        self.keys = place[self.of]
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = self.own + (h >> np.uint64(7)).astype(np.int64) % self.hashed
+        if self.own:
+            at = np.minimum(np.searchsorted(self.keys, h), self.own - 1)
+            hit = self.keys[at] == h
+            out[hit] = self.of[at[hit]]
+        out[h == END] = self.n - 1
+        return out
+
+    def members(self, group: int) -> tuple[int, int]:
+        return group * self.size, min(self.n, (group + 1) * self.size)
+
+    def shapes(self) -> list[tuple[str, tuple]]:
+        return [("r", (self.n, DIM)), ("c", (2, DIM)), ("q1", (self.groups, DIM)), ("b1", (self.groups,)), ("q2", (self.n, DIM)), ("b2", (self.n,))]
+
+
+def initial(leaves: Leaves, frequency: np.ndarray) -> dict[str, np.ndarray]:
+    """Parameters before training, the same everywhere. frequency: positive, of leaves."""
     rng = np.random.default_rng(SEED)
-    r, q = (rng.normal(0, 0.1, (CLASSES, DIM)) for _ in range(2))
-    return {"r": r, "q": q, "c": np.ones((2, DIM)), "b": np.log(frequency)}
+    out = {name: rng.normal(0, 0.1, shape).astype(np.float32) for name, shape in leaves.shapes()}
+    group = np.add.reduceat(frequency, np.arange(0, leaves.n, leaves.size))
+    out |= {"c": np.ones((2, DIM), np.float32), "b1": np.log(group / group.sum()).astype(np.float32), "b2": np.log(frequency / np.repeat(group, leaves.size)[: leaves.n]).astype(np.float32)}
+    return out
 
 
 def contexts(model: dict, before: np.ndarray) -> np.ndarray:
     return model["c"][0] * model["r"][before[:, 1]] + model["c"][1] * model["r"][before[:, 0]]
 
 
-def _scatter(shape: tuple, index: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Zeros of ``shape`` with each row of ``values`` added at its index."""
-    out = np.zeros(shape, np.float32)
-    order = np.argsort(index, kind="stable")
-    at = index[order]
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    out[at[first]] = np.add.reduceat(values[order], first, axis=0)
-    return out
+class _Learner:
+    """Adagrad on the rows that a batch touches."""
+
+    def __init__(self, model: dict):
+        self.model = {k: v.astype(np.float32) for k, v in model.items()}
+        self.sums = {k: np.full(v.shape, 1e-3, np.float32) for k, v in model.items()}  # of squared gradients
+
+    def update(self, name: str, index: np.ndarray | slice, gradient: np.ndarray) -> None:
+        """index: places, repeated ones add up; or a slice."""
+        if not isinstance(index, slice):
+            order = np.argsort(index, kind="stable")
+            at = index[order]
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            index, gradient = at[first], np.add.reduceat(gradient[order], first, axis=0)
+        sums = self.sums[name][index] + gradient**2
+        self.sums[name][index] = sums
+        self.model[name][index] -= np.float32(RATE) * gradient / np.sqrt(sums)
+
+    def contrast(self, before: np.ndarray, target: np.ndarray, w: np.ndarray, noise: np.ndarray, q: str, b: str, block: slice, words: bool) -> None:
+        """A step of noise-contrastive estimation over a block of q and b, whose members' noise the sum takes as expected.
+
+        target: places in the block; noise: how often noise has each member for a seen one; words: the words before learn as well.
+        """
+        m = self.model
+        near, far, vectors = m["r"][before[:, 1]], m["r"][before[:, 0]], m[q][block]
+        h = m["c"][0] * near + m["c"][1] * far
+        seen = h @ vectors.T  # that a member comes from the text and not from noise
+        seen += m[b][block] - np.log(noise)
+        np.negative(seen, out=seen)
+        np.exp(seen, out=seen)
+        seen += 1
+        np.reciprocal(seen, out=seen)
+        row = np.arange(len(h))
+        true = seen[row, target] - 1
+        seen *= noise
+        seen[row, target] += true
+        seen *= w[:, None]  # gradients by the scores
+        if words:
+            dh = seen @ vectors
+            self.update("r", np.concatenate([before[:, 1], before[:, 0]]), np.concatenate([dh * m["c"][0], dh * m["c"][1]]))
+            self.update("c", slice(None), np.stack([(dh * near).sum(0), (dh * far).sum(0)]))
+        self.update(q, block, seen.T @ h)
+        self.update(b, block, seen.sum(0))
+
+
+def train(model: dict, leaves: Leaves, grams: np.ndarray, counts: np.ndarray, frequency: np.ndarray, seed: int) -> dict:
+    """One pass over distinct trigrams of leaves, each weighted by its count: of groups, which the words before learn from, then of each group's leaves."""
+    rng, learner = np.random.default_rng(seed), _Learner(model)
+    order = rng.permutation(len(grams))
+    grams, weight = grams[order], (counts[order] / counts.mean() / BATCH).astype(np.float32)
+    group = grams[:, 2] // leaves.size
+    starts = np.arange(0, leaves.n, leaves.size)
 
+    def pass_over(rows: np.ndarray, target: np.ndarray, share: np.ndarray, q: str, b: str, block: slice, words: bool) -> None:
+        noise = (NOISE * share).astype(np.float32)
+        for at in range(0, len(rows), BATCH):
+            some = rows[at : at + BATCH]
+            learner.contrast(grams[some, :2], target[some] - block.start, weight[some], noise, q, b, block, words)
 
-def train(model: dict, grams: np.ndarray, counts: np.ndarray, noise: np.ndarray, seed: int) -> dict:
-    """One pass over distinct trigrams of classes, each weighted by its count."""
-    rng = np.random.default_rng(seed)
-    held = {k: model[k].astype(np.float32) for k in "rqcb"}
-    r, q, c, b = held.values()
-    sums = {k: np.full(v.shape, 1e-3, np.float32) for k, v in held.items()}  # of squared gradients
-    order = rng.permutation(len(grams))
-    grams, counts = grams[order], counts[order].astype(np.float32)
-    log_noise = np.log(NOISE * noise).astype(np.float32)
-    edges = np.cumsum(noise)
-    for at in range(0, len(grams), BATCH):
-        g = grams[at : at + BATCH]
-        w = counts[at : at + BATCH] / counts[at : at + BATCH].sum()
-        drawn = np.minimum(np.searchsorted(edges, rng.random(NOISE)), CLASSES - 1)
-        near, far, right = r[g[:, 1]], r[g[:, 0]], q[g[:, 2]]
-        h = c[0] * near + c[1] * far
-        true = 1 / (1 + np.exp(log_noise[g[:, 2]] - b[g[:, 2]] - (h * right).sum(1)))
-        false = h @ q[drawn].T
-        false += b[drawn] - log_noise[drawn]
-        np.negative(false, out=false)
-        np.exp(false, out=false)
-        false += 1
-        dt, df = (true - 1) * w, np.divide(w[:, None], false, out=false)  # gradients by the scores
-        dh = dt[:, None] * right + df @ q[drawn]
-        gq = _scatter(q.shape, g[:, 2], dt[:, None] * h) + _scatter(q.shape, drawn, df.T @ h)
-        gb = _scatter(b.shape, g[:, 2], dt) + _scatter(b.shape, drawn, df.sum(0))
-        gr = _scatter(r.shape, g[:, 1], dh * c[0]) + _scatter(r.shape, g[:, 0], dh * c[1])
-        gc = np.stack([(dh * near).sum(0), (dh * far).sum(0)])
-        for name, gradient in (("r", gr), ("q", gq), ("c", gc), ("b", gb)):
-            sums[name] += gradient**2
-            held[name] -= np.float32(RATE) * gradient / np.sqrt(sums[name])
-    return {k: v.astype(float) for k, v in held.items()}
-
-
-def pack(model: dict) -> np.ndarray:
-    return np.concatenate([model[k].ravel() for k in "rqcb"])
-
-
-def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
+    with np.errstate(over="ignore"):
+        sums = np.add.reduceat(frequency, starts)
+        pass_over(np.arange(len(grams)), group, sums / sums.sum(), "q1", "b1", slice(0, leaves.groups), True)
+        by = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group[by], np.arange(leaves.groups + 1))
+        for g in range(leaves.groups):
+            a, z = leaves.members(g)
+            if cuts[g + 1] > cuts[g] and z - a > 1:
+                pass_over(by[cuts[g] : cuts[g + 1]], grams[:, 2], frequency[a:z] / frequency[a:z].sum(), "q2", "b2", slice(a, z), False)
+    return learner.model
+
+
+def pack(model: dict, leaves: Leaves) -> np.ndarray:
+    return np.concatenate([model[k].ravel() for k, _ in leaves.shapes()])
+
+
+def unpack(flat: np.ndarray, leaves: Leaves) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for name, shape in (("r", (CLASSES, DIM)), ("q", (CLASSES, DIM)), ("c", (2, DIM)), ("b", (CLASSES,))):
+    for name, shape in leaves.shapes():
         n = int(np.prod(shape))
         out[name], at = flat[at : at + n].reshape(shape), at + n
     return out
 
 
-SIZE = 2 * CLASSES * DIM + 2 * DIM + CLASSES
-
-
-def log_softmax_of(model: dict, before: np.ndarray, which: np.ndarray, norms: np.ndarray | None = None) -> np.ndarray:
-    """Natural log of P(class which | classes before), normalised.
-
-    norms: room for the logarithms of the softmax's denominators by context, NaN where not known; a context's is computed once.
-    """
-    norms = np.full(CLASSES**2, np.nan, np.float32) if norms is None else norms
-    q, b = model["q"].astype(np.float32), model["b"].astype(np.float32)
-    small = {k: v.astype(np.float32) for k, v in model.items()}
-    key = before[:, 0] * CLASSES + before[:, 1]
-    asked = np.zeros(CLASSES**2, bool)
-    asked[key] = True
-    new = np.flatnonzero(asked & np.isnan(norms))
-    for at in range(0, len(new), 4096):
-        some = new[at : at + 4096]
-        scores = contexts(small, np.stack([some // CLASSES, some % CLASSES], axis=1)) @ q.T + b
+def _normed(h: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Logarithms of the softmax's denominators for each row of h."""
+    out = np.empty(len(h), np.float32)
+    for at in range(0, len(h), 4096):
+        scores = h[at : at + 4096] @ q.T
+        scores += b
         top = scores.max(1)
         scores -= top[:, None]
-        norms[some] = np.log(np.exp(scores, out=scores).sum(1)) + top
-    return np.einsum("ij,ij->i", contexts(small, before), q[which]) + b[which] - norms[key]
-
-
-class Vocabulary:
-    """Classes of words by their 64-bit hashes: the frequent ones by their place, the others by the hash."""
+        out[at : at + 4096] = np.log(np.exp(scores, out=scores).sum(1)) + top
+    return out
 
-    def __init__(self, frequent: list[int]):
-        place = np.array(frequent, np.int64).view(np.uint64)
-        self.of = np.argsort(place)
-        self.keys = place[self.of]
 
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        out = FREQUENT + (h >> np.uint64(7)).astype(np.int64) % HASHED
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = self.keys[at] == h
-            out[hit] = self.of[at[hit]]
-        out[h == END] = CLASSES - 1
-        return out
+def log_probabilities(model: dict, leaves: Leaves, before: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """Natural log of P(leaf | leaves before), normalised; a context's softmax is computed once."""
+    m = {k: v.astype(np.float32, copy=False) for k, v in model.items()}
+    key, of = np.unique(before[:, 0] * leaves.n + before[:, 1], return_inverse=True)
+    h = contexts(m, np.stack([key // leaves.n, key % leaves.n], axis=1))
+    group = leaf // leaves.size
+    out = np.einsum("ij,ij->i", h[of], m["q1"][group]) + m["b1"][group] - _normed(h, m["q1"], m["b1"])[of]
+    pair, which = np.unique(group * len(key) + of, return_inverse=True)  # by group
+    cuts, norm = np.searchsorted(pair, np.arange(leaves.groups + 1) * len(key)), np.empty(len(pair), np.float32)
+    for g in np.flatnonzero(np.diff(cuts)):
+        a, z = leaves.members(g)
+        norm[cuts[g] : cuts[g + 1]] = _normed(h[pair[cuts[g] : cuts[g + 1]] - g * len(key)], m["q2"][a:z], m["b2"][a:z])
+    return out + np.einsum("ij,ij->i", h[of], m["q2"][leaf]) + m["b2"][leaf] - norm[which]
 
 
 #: Stands for the end of a text among the hashes of words.
@@ -164,11 +213,11 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, at[1:], END), at + np.arange(len(at))
 
 
-def _before(classes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The two classes before each token; a text begins after two ends."""
-    n, end = len(classes), CLASSES - 1
+def _before(leaf: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
+    """The two leaves before each token; a text begins after two ends."""
+    n = len(leaf)
     one, two = np.full(n, end), np.full(n, end)
-    one[1:], two[2:] = classes[:-1], classes[:-2]
+    one[1:], two[2:] = leaf[:-1], leaf[:-2]
     first = at[:-1]
     one[first] = two[first] = end
     two[first[np.diff(at) > 1] + 1] = end
@@ -179,18 +228,21 @@ def _held_out(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(str("null" if i is None else i).encode()) % HELD_OUT[0] == HELD_OUT[1] for i in ids], bool)
 
 
-_DEALT = "chunk long, doc_id long, text string"
+class _Chunks:
+    """(chunk, doc_id, text), stored bucketed by chunk in the shared folder: work by chunk reads it without a shuffle."""
 
-
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with their chunk: a task's texts in order, so many bytes each."""
-    schema, task, size, nth = arrow_schema(_DEALT), TaskContext.get().partitionId(), 0, 0
-    for batch in blocks(batches, 1 << 20):
-        chunk = task << 32 | nth
-        yield pa.RecordBatch.from_arrays([pa.array([chunk] * batch.num_rows, pa.int64()), batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string())], schema=schema)
-        size += batch.column(1).nbytes
-        if size >= CHUNK_BYTES:
-            size, nth = 0, nth + 1
+    def __init__(self, base: DataFrame):
+        self.spark = base.sparkSession
+        held = base.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+        n = max(1, -(-held // max(CHUNK_BYTES, 16 * isqrt(held))))
+        # rows without identifier may repeat without bound: they are spread
+        salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0)
+        dealt = base.select(F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(n)).alias("chunk"), "doc_id", "text")
+        buckets = min(n, 20_000)
+        self.name, path = f"tessera_{uuid.uuid4().hex}", f"{shared_dir(self.spark)}/tessera-{uuid.uuid4().hex}"
+        dealt.repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").option("path", path).option("compression", "zstd").saveAsTable(self.name)
+        Table.own(self.spark, path)
+        self.df = self.spark.table(self.name)
 
 
 _COUNTED = "chunk long, word long, n long"
@@ -227,53 +279,46 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-_MODEL = "slot int, total array<double>, n long"
-SLOTS = 64  # a model's numbers travel in so many pieces, so that sums of many models are spread
-
+_MODEL = "chunk long, slot int, total array<float>, n long"
+SLOT = 1 << 14  # a model's numbers travel in pieces of so many, so that sums of many models are spread
+FAN_IN = 256  # models of a sum's first step
 
-def _train(flat, vocabulary, noise):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A model for each ``CHUNK_BYTES`` of training texts of a task."""
-        schema, size, held, nth = arrow_schema(_MODEL), 0, [], 0
-        seed = TaskContext.get().partitionId() * 1000
 
-        def rows() -> pa.RecordBatch:
-            n = sum(len(x) for x in held)
-            gram, counts = _summed(*zip(*(np.unique(x, return_counts=True) for x in held)))
-            grams = np.stack([gram // CLASSES**2, gram // CLASSES % CLASSES, gram % CLASSES], axis=1)
-            parts = np.array_split(pack(train(unpack(flat.value), grams, counts, noise.value, seed + nth)) * n, SLOTS)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(range(SLOTS), pa.int32()), pa.array([x.tolist() for x in parts], pa.list_(pa.float64())), pa.array([n] * SLOTS, pa.int64())], schema=schema)
-
-        for batch in blocks(batches, 1 << 20):
+def _train_chunk(flat, leaves, frequency):
+    def run(key, docs):
+        """A model for a chunk's training texts, times its tokens."""
+        held, schema, where = [], arrow_schema(_MODEL), leaves.value
+        for batch in blocks(iter(docs.to_batches()), 1 << 20):
             part = batch.filter(pa.array(~_held_out(column(batch, "doc_id"))))
-            if not part.num_rows:
-                continue
-            h, at = tokens(text_bytes(part))
-            classes = vocabulary.value(h)
-            before = _before(classes, at)
-            held.append((before[:, 0] * CLASSES + before[:, 1]) * CLASSES + classes)
-            size += batch.column(batch.schema.get_field_index("text")).nbytes
-            if size >= CHUNK_BYTES:
-                yield rows()
-                size, nth = 0, nth + 1
-        if held:
-            yield rows()
+            if part.num_rows:
+                h, at = tokens(text_bytes(part))
+                leaf = where(h)
+                before = _before(leaf, at, where.n - 1)
+                held.append(np.unique((before[:, 0] * where.n + before[:, 1]) * where.n + leaf, return_counts=True))
+        if not held:
+            return schema.empty_table()
+        gram, counts = _summed(*zip(*held))
+        held.clear()
+        grams = np.stack([gram // where.n**2, gram // where.n % where.n, gram % where.n], axis=1)
+        chunk, n = key[0].as_py(), int(counts.sum())
+        whole = pack(train(unpack(flat.value, where), where, grams, counts, frequency.value, chunk), where) * np.float32(n)
+        parts = [whole[a : a + SLOT] for a in range(0, len(whole), SLOT)]
+        return pa.table([pa.array([chunk] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.float32())), pa.array([n] * len(parts), pa.int64())], schema=schema)
 
     return run
 
 
-def _sum_slot(key, table):
+def _sum_models(key, table):
     total = np.zeros(len(table["total"][0]))
     for x in table["total"]:
         total += np.asarray(x.values)
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([sum(table["n"].to_pylist())], pa.int64())], schema=arrow_schema(_MODEL))
+    return pa.table([pa.array([0]), pa.array([key[0].as_py()], pa.int32()), pa.array([total.tolist()], pa.list_(pa.float32())), pa.array([sum(table["n"].to_pylist())], pa.int64())], schema=arrow_schema(_MODEL))
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score_chunk(flat, vocabulary, of_class, train_tokens: int, distinct: int):
+def _score_chunk(flat, leaves, of_leaf, train_tokens: int, distinct: int):
     def run(key, docs, counts):
         schema = arrow_schema(_SCORED)
         if not docs.num_rows:
@@ -281,17 +326,17 @@ def _score_chunk(flat, vocabulary, of_class, train_tokens: int, distinct: int):
         word, c = (counts[x].combine_chunks().to_numpy(zero_copy_only=False) for x in ("word", "c"))
         order = np.argsort(word.view(np.uint64))
         word, c = np.append(word.view(np.uint64)[order], np.uint64(0)), np.append(c[order], 0).astype(float)
-        totals, sizes = of_class.value
-        model, norms, out = unpack(flat.value), np.full(CLASSES**2, np.nan, np.float32), []
+        where, (totals, sizes) = leaves.value, of_leaf.value
+        model, out = unpack(flat.value, where), []
         for batch in blocks(iter(docs.select(["doc_id", "text"]).to_batches()), 1 << 20):
             h, starts = tokens(text_bytes(batch))
-            kind, first = vocabulary.value(h), starts[:-1]
+            leaf, first = where(h), starts[:-1]
             at = np.searchsorted(word[:-1], h)
             count = np.where(word[at] == h, c[at], 0.0)
             base = np.log10((count + 1) / (train_tokens + distinct + 1))
-            # a frequent word is its class; in a hash class a word has its share
-            share = np.where((kind < FREQUENT) | (kind == CLASSES - 1), 0.0, np.log10((count + 1) / (totals[kind] + sizes[kind] + 1)))
-            each = share + log_softmax_of(model, _before(kind, starts), kind, norms) / np.log(10)
+            # an own word is its leaf; in a hash leaf a word has its share
+            share = np.where((leaf < where.own) | (leaf == where.n - 1), 0.0, np.log10((count + 1) / (totals[leaf] + sizes[leaf] + 1)))
+            each = share + log_probabilities(model, where, _before(leaf, starts, where.n - 1), leaf).astype(float) / np.log(10)
             ids = column(batch, "doc_id")
             rows = [pa.array(ids, pa.int64()), pa.array(_held_out(ids)), pa.array(np.diff(starts)), pa.array(np.add.reduceat((count > 0).astype(np.int64), first)),
                     pa.array(np.full(len(ids), train_tokens)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(each, first))]
@@ -304,29 +349,31 @@ def _score_chunk(flat, vocabulary, of_class, train_tokens: int, distinct: int):
 def score(docs: DataFrame, **cols) -> DataFrame:
     """``_SCORED`` for each document."""
     spark = docs.sparkSession
-    texts = saved(with_text(docs, **cols).mapInArrow(_deal, _DEALT))
+    texts = _Chunks(with_text(docs, **cols)).df
+    tidy(spark)
     counted = saved(texts.mapInArrow(_count, _COUNTED))
     counts = saved(counted.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")))
     tidy(spark)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = [r.word for r in counts.where(F.col("word") != int(END)).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()]
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(frequent))
-    # totals of the classes: a frequent word by its place, the others by their hash
-    own = spark.createDataFrame([(w, i) for i, w in enumerate(frequent)] + [(int(END), CLASSES - 1)], "word long, own int")
-    kind = F.coalesce("own", (F.lit(FREQUENT) + F.pmod(F.shiftrightunsigned("word", 7), F.lit(HASHED))).cast("int"))
-    totals, sizes = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.join(F.broadcast(own), "word", "left").groupBy(kind.alias("kind")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # `CLASSES` rows
-        totals[r.kind], sizes[r.kind] = r.c, r.n
-    noise = (totals + 1) / (totals + 1).sum()
-    flat = pack(initial(noise))
-    shared = [spark.sparkContext.broadcast(x) for x in (flat, noise, (totals, sizes))]
-    rows = texts.mapInArrow(_train(shared[0], vocabulary, shared[1]), _MODEL).groupBy("slot").applyInArrow(_sum_slot, _MODEL).collect()  # `SLOTS` rows: one model
+    own = [r.word for r in counts.where(F.col("word") != int(END)).orderBy(F.desc("c"), "word").limit(min(MOST_OWN, OWN_PER_ROOT * isqrt(distinct))).collect()]
+    leaves = Leaves(own)
+    # totals of the leaves: an own word by its rank, the others by their hash
+    ranks = spark.createDataFrame([(w, i) for i, w in enumerate(own)] + [(int(END), leaves.n - 1)], "word long, own int")
+    place = F.coalesce("own", (F.lit(leaves.own) + F.pmod(F.shiftrightunsigned("word", 7), F.lit(leaves.hashed))).cast("int"))
+    totals, sizes = np.zeros(leaves.n), np.zeros(leaves.n)
+    for r in counts.join(F.broadcast(ranks), "word", "left").groupBy(place.alias("leaf")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # a row for each leaf
+        totals[r.leaf], sizes[r.leaf] = r.c, r.n
+    frequency = (totals + 1) / (totals + 1).sum()
+    flat = pack(initial(leaves, frequency), leaves)
+    here, many, of_leaf, start = (spark.sparkContext.broadcast(x) for x in (leaves, frequency, (totals, sizes), flat))
+    models = saved(texts.groupBy("chunk").applyInArrow(_train_chunk(start, here, many), _MODEL))
+    some = models.groupBy("slot", F.expr(f"chunk div {FAN_IN}")).applyInArrow(_sum_models, _MODEL)
+    rows = some.groupBy("slot").applyInArrow(_sum_models, _MODEL).collect()  # one model
     if rows:
-        flat = np.concatenate([np.array(r.total) / r.n for r in sorted(rows, key=lambda r: r.slot)])
+        flat = np.concatenate([np.array(r.total) / r.n for r in sorted(rows, key=lambda r: r.slot)]).astype(np.float32)
     tidy(spark)
-    model = spark.sparkContext.broadcast(flat)
     mine = counted.join(counts, "word").select("chunk", "word", "c")
-    return texts.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(_score_chunk(model, vocabulary, shared[2], total, distinct), _SCORED)
+    return texts.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(_score_chunk(spark.sparkContext.broadcast(flat), here, of_leaf, total, distinct), _SCORED)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -114,19 +114,34 @@ def test_language_model_counts_and_base(docs, tricky):
 
 def test_model_is_normalised_and_learns():
     rng = np.random.default_rng(0)
-    classes = np.where(rng.random(20_000) < 0.9, np.arange(20_000) % 2, 5)
-    noise = (np.bincount(classes, minlength=lbl.CLASSES) + 1.0) / (len(classes) + lbl.CLASSES)
-    before = lbl._before(classes, np.array([0, len(classes)]))
-    gram, n = np.unique((before[:, 0] * lbl.CLASSES + before[:, 1]) * lbl.CLASSES + classes, return_counts=True)
-    grams = np.stack([gram // lbl.CLASSES**2, gram // lbl.CLASSES % lbl.CLASSES, gram % lbl.CLASSES], axis=1)
-    start = lbl.initial(noise)
-    model = start
-    for k in range(30):
-        model = lbl.train(model, grams, n, noise, k)
-    assert lbl.log_softmax_of(model, before, classes).mean() > lbl.log_softmax_of(start, before, classes).mean() + 0.2
-    every = np.arange(lbl.CLASSES)
-    assert np.exp(lbl.log_softmax_of(model, np.tile([3, 1], (lbl.CLASSES, 1)), every)).sum() == pytest.approx(1, abs=1e-4)
-    assert np.allclose(lbl.pack(lbl.unpack(lbl.pack(model))), lbl.pack(model))
+    for own in (0, 3, 150):
+        leaves = lbl.Leaves(list(range(10, 10 + own)))
+        seen = np.where(rng.random(20_000) < 0.9, np.arange(20_000) % 2, rng.integers(0, leaves.n, 20_000))
+        frequency = np.bincount(seen, minlength=leaves.n) + 1.0
+        frequency /= frequency.sum()
+        before = lbl._before(seen, np.array([0, len(seen)]), leaves.n - 1)
+        gram, n = np.unique((before[:, 0] * leaves.n + before[:, 1]) * leaves.n + seen, return_counts=True)
+        grams = np.stack([gram // leaves.n**2, gram // leaves.n % leaves.n, gram % leaves.n], axis=1)
+        model = start = lbl.initial(leaves, frequency)
+        for k in range(30):
+            model = lbl.train(model, leaves, grams, n, frequency, k)
+        assert lbl.log_probabilities(model, leaves, before, seen).mean() > lbl.log_probabilities(start, leaves, before, seen).mean() + 0.2
+        every = np.arange(leaves.n)
+        for context in ((1, 0), (0, 1), (leaves.n - 1, 2)):
+            each = lbl.log_probabilities(model, leaves, np.tile(context, (leaves.n, 1)), every)
+            assert np.exp(each.astype(float)).sum() == pytest.approx(1, abs=1e-4)
+            # brute force: both softmaxes spelled out
+            h = model["c"][0] * model["r"][context[1]] + model["c"][1] * model["r"][context[0]]
+            top, low = np.exp(model["q1"] @ h + model["b1"]), np.exp(model["q2"] @ h + model["b2"])
+            want = [top[x // leaves.size] / top.sum() * low[x] / low[x // leaves.size * leaves.size : (x // leaves.size + 1) * leaves.size].sum() for x in every]
+            assert np.allclose(np.exp(each), want, rtol=1e-3)
+        assert np.allclose(lbl.pack(lbl.unpack(lbl.pack(model, leaves), leaves), leaves), lbl.pack(model, leaves))
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one, two = ({r.doc_id: r.score for r in lbl.score(docs.repartition(n)).collect()} for n in (2, 7))
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], rel=1e-6) for k in one)
 
 
 def test_model_beats_unigrams_on_held_out_text(spark):
