@@ -1,6 +1,6 @@
 """Language-model scoring: a log-bilinear neural model trained by noise-contrastive estimation.
 
-Training words are ranked by their counts. The first 4 sqrt(V) of V distinct words are leaves of their own, so the model grows with
+Training words are ranked by their counts. The first 2 sqrt(V) of V distinct words are leaves of their own, so the model grows with
 the vocabulary that the corpus shows; the others share hash leaves, one for 16 own ones; the end of a text is the last leaf.
 Leaves stand in groups of about as many as there are groups, and a token's probability has two log-bilinear factors and a share:
 
@@ -18,7 +18,7 @@ seed; copies are averaged by their tokens, in two steps of bounded groups. Nothi
 its words. Words are known by 64-bit hashes of their bytes.
 
 Bounds: a chunk holds 16 MB, or 16 bytes times the square root of all bytes if that is more (160 MB of 100 TB); a model, which is
-broadcast, has ``MOST_OWN`` own leaves at most (some 30 MB), reached at a billion distinct words.
+broadcast, has ``MOST_OWN`` own leaves at most (some 20 MB), reached at four billion distinct words.
 
 Defined cases: a null or empty text is one end token; a null identifier counts as the text "null"; repeated rows count each and score
 alike; of words with equal counts those with the smaller hash rank first; without any training documents all counts are 0 and the base is
@@ -40,12 +40,12 @@ from pyspark.sql import functions as F
 from .common import Table, arrow_schema, blocks, column, documents, saved, shared_dir, text_bytes, tidy, with_text
 from .words import hash_words
 
-OWN_PER_ROOT = 4
+OWN_PER_ROOT = 2
 MOST_OWN = 1 << 17
 OWN_PER_HASHED = 16
-DIM = 24
+DIM = 16
 NOISE = 48
-BATCH = 1024
+BATCH = 2048
 RATE = 0.3
 CHUNK_BYTES = 16 << 20
 HELD_OUT = (7, 2)  # crc32 of the identifier modulo 7 is 2
@@ -111,10 +111,10 @@ class _Learner:
         self.sums[name][index] = sums
         self.model[name][index] -= np.float32(RATE) * gradient / np.sqrt(sums)
 
-    def contrast(self, before: np.ndarray, target: np.ndarray, w: np.ndarray, noise: np.ndarray, q: str, b: str, block: slice, words: bool) -> None:
+    def contrast(self, before: np.ndarray, target: np.ndarray, w: np.ndarray, noise: np.ndarray, q: str, b: str, block: slice) -> None:
         """A step of noise-contrastive estimation over a block of q and b, whose members' noise the sum takes as expected.
 
-        target: places in the block; noise: how often noise has each member for a seen one; words: the words before learn as well.
+        target: places in the block; noise: how often noise has each member for a seen one.
         """
         m = self.model
         near, far, vectors = m["r"][before[:, 1]], m["r"][before[:, 0]], m[q][block]
@@ -130,37 +130,36 @@ class _Learner:
         seen *= noise
         seen[row, target] += true
         seen *= w[:, None]  # gradients by the scores
-        if words:
-            dh = seen @ vectors
-            self.update("r", np.concatenate([before[:, 1], before[:, 0]]), np.concatenate([dh * m["c"][0], dh * m["c"][1]]))
-            self.update("c", slice(None), np.stack([(dh * near).sum(0), (dh * far).sum(0)]))
+        dh = seen @ vectors
+        self.update("r", np.concatenate([before[:, 1], before[:, 0]]), np.concatenate([dh * m["c"][0], dh * m["c"][1]]))
+        self.update("c", slice(None), np.stack([(dh * near).sum(0), (dh * far).sum(0)]))
         self.update(q, block, seen.T @ h)
         self.update(b, block, seen.sum(0))
 
 
 def train(model: dict, leaves: Leaves, grams: np.ndarray, counts: np.ndarray, frequency: np.ndarray, seed: int) -> dict:
-    """One pass over distinct trigrams of leaves, each weighted by its count: of groups, which the words before learn from, then of each group's leaves."""
+    """One pass over distinct trigrams of leaves, each weighted by its count: of groups, then of each group's leaves."""
     rng, learner = np.random.default_rng(seed), _Learner(model)
     order = rng.permutation(len(grams))
-    grams, weight = grams[order], (counts[order] / counts.mean() / BATCH).astype(np.float32)
+    grams, weight = grams[order], (counts[order] / counts.mean() / min(BATCH, len(grams))).astype(np.float32)
     group = grams[:, 2] // leaves.size
     starts = np.arange(0, leaves.n, leaves.size)
 
-    def pass_over(rows: np.ndarray, target: np.ndarray, share: np.ndarray, q: str, b: str, block: slice, words: bool) -> None:
+    def pass_over(rows: np.ndarray, target: np.ndarray, share: np.ndarray, q: str, b: str, block: slice) -> None:
         noise = (NOISE * share).astype(np.float32)
         for at in range(0, len(rows), BATCH):
             some = rows[at : at + BATCH]
-            learner.contrast(grams[some, :2], target[some] - block.start, weight[some], noise, q, b, block, words)
+            learner.contrast(grams[some, :2], target[some] - block.start, weight[some], noise, q, b, block)
 
     with np.errstate(over="ignore"):
         sums = np.add.reduceat(frequency, starts)
-        pass_over(np.arange(len(grams)), group, sums / sums.sum(), "q1", "b1", slice(0, leaves.groups), True)
+        pass_over(np.arange(len(grams)), group, sums / sums.sum(), "q1", "b1", slice(0, leaves.groups))
         by = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[by], np.arange(leaves.groups + 1))
         for g in range(leaves.groups):
             a, z = leaves.members(g)
             if cuts[g + 1] > cuts[g] and z - a > 1:
-                pass_over(by[cuts[g] : cuts[g + 1]], grams[:, 2], frequency[a:z] / frequency[a:z].sum(), "q2", "b2", slice(a, z), False)
+                pass_over(by[cuts[g] : cuts[g + 1]], grams[:, 2], frequency[a:z] / frequency[a:z].sum(), "q2", "b2", slice(a, z))
     return learner.model
 
 
@@ -235,10 +234,15 @@ class _Chunks:
         self.spark = base.sparkSession
         held = base.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
         n = max(1, -(-held // max(CHUNK_BYTES, 16 * isqrt(held))))
+        buckets = min(n, 20_000)
         # rows without identifier may repeat without bound: they are spread
         salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0)
-        dealt = base.select(F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(n)).alias("chunk"), "doc_id", "text")
-        buckets = min(n, 20_000)
+        chunk = F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(n))
+        if n == buckets:  # numbers that fall into one bucket each
+            number = self.spark.range(30 * n + 100).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("k")).agg(F.min("id").alias("id")).collect()
+            free = {r.k: r.id for r in number}
+            chunk = F.get(F.from_json(F.lit(str([free.get(k, k) for k in range(n)])), "array<long>"), chunk.cast("int"))
+        dealt = base.select(chunk.alias("chunk"), "doc_id", "text")
         self.name, path = f"tessera_{uuid.uuid4().hex}", f"{shared_dir(self.spark)}/tessera-{uuid.uuid4().hex}"
         dealt.repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").option("path", path).option("compression", "zstd").saveAsTable(self.name)
         Table.own(self.spark, path)
