@@ -2,19 +2,19 @@
 
 Two generative models of hashed word n-grams, one of target texts and one of raw texts, give each document the log of
 their ratio, p_target / p_raw. Adding Gumbel noise to it and taking the k largest draws k documents without
-replacement in proportion to the ratio. The target model is fitted on documents that are labelled good; how many to draw is
-where the ratio separates good from bad labels best.
+replacement in proportion to the ratio. The target model is fitted on documents that are labelled good, but for one in ``HELD``:
+how many to draw is where the ratio separates good from bad among those labels, which the model hasn't seen, best.
 
 Target counts come from at most ``most_labels`` labelled documents (their identifiers are collected, taken by a
 hash); raw counts cover every document. Both are vectors of ``buckets`` numbers, whatever the input. The k-th
 largest key is found exactly, in four rounds that count keys by 16 of their bits; no sort, no single task.
 
-The ratio is an average for each n-gram times ``evidence`` (or the number of n-grams, if fewer): otherwise a long text's few
-odd words would outweigh everything, and the noise would rule short ones.
+The log ratio is the plain sum over all unigrams and bigrams of a whole text, whatever its length.
 
 Defined cases: a null text is empty, has no n-grams and a ratio of 0 (kept as any other with that key); rows whose keys tie with
 the k-th are kept together; repeated rows have the same key; without labels of both kinds all is kept; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns are ignored, whatever their names; very long texts are read whole; an identifier of several
+labels counts as bad if one of them is.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from .words import PUNCTUATION, hash_words
 
 BUCKETS = 1 << 15
 MOST_LABELS = 20_000
-EVIDENCE = 200
+#: One labelled document in so many is kept from the target model, for the threshold.
+HELD = 3
 SEED = 20_261
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -63,16 +64,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(raw[at]), pa.array(target[at])], schema=arrow_schema("bucket long, raw long, target long"))
 
 
-def _ratios(log_ratio, evidence: int):
+def _ratios(log_ratio):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, table = arrow_schema("doc_id long, n_grams long, log_ratio double"), log_ratio.value
         for batch in blocks(batches, 1 << 20):
             grams, at = ngram_buckets(text_bytes(batch))
             n = np.diff(at)
-            mean = np.zeros(len(n))
+            total = np.zeros(len(n))
             if len(grams):
-                mean[n > 0] = np.add.reduceat(table[grams], at[:-1][n > 0]) / n[n > 0]
-            kept = [batch.column(batch.schema.get_field_index("doc_id")), pa.array(n), pa.array(mean * np.minimum(n, evidence))]
+                total[n > 0] = np.add.reduceat(table[grams], at[:-1][n > 0])
+            kept = [batch.column(batch.schema.get_field_index("doc_id")), pa.array(n), pa.array(total)]
             yield pa.RecordBatch.from_arrays(kept, schema=schema)
 
     return run
@@ -109,14 +110,14 @@ def best_share(scored: list[tuple[float, bool]]) -> float:
     return at
 
 
-def resample(docs: DataFrame, labels: DataFrame, noise: float = 1.0, evidence: int = EVIDENCE, most_labels: int = MOST_LABELS, seed: int = SEED, **cols) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, noise: float = 1.0, most_labels: int = MOST_LABELS, seed: int = SEED, **cols) -> DataFrame:
     """(doc_id, n_grams, log_ratio, key, kept), a row for each row of ``docs``.
 
     labels: (doc_id, good). noise: the scale of the Gumbel noise; 0 makes the draw a ranking.
     """
     spark = docs.sparkSession
-    some = {r.doc_id: bool(r.good) for r in labels.where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels).collect()}
-    held = spark.sparkContext.broadcast(frozenset(i for i, good in some.items() if good))
+    some = {r.doc_id: (bool(r.good), r.held) for r in labels.where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("good")).withColumn("held", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(HELD)) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels).collect()}
+    held = spark.sparkContext.broadcast(frozenset(i for i, (good, out) in some.items() if good and not out))
     texts = with_text(docs, **cols)
 
     def count(batches):
@@ -135,11 +136,11 @@ def resample(docs: DataFrame, labels: DataFrame, noise: float = 1.0, evidence: i
         raw[r.bucket] += r.raw
         target[r.bucket] += r.target
     table = spark.sparkContext.broadcast(np.log(target / target.sum()) - np.log(raw / raw.sum()))
-    ratios = saved(texts.mapInArrow(_ratios(table, evidence), "doc_id long, n_grams long, log_ratio double"))
+    ratios = saved(texts.mapInArrow(_ratios(table), "doc_id long, n_grams long, log_ratio double"))
     # noise from the identifier: the same wherever and whenever the row is read
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
     keyed = ratios.withColumn("key", F.col("log_ratio") - F.lit(float(noise)) * F.log(-F.log(u)))
-    known = spark.createDataFrame([(i, g) for i, g in some.items()] or [(None, True)], "doc_id long, good boolean")
+    known = spark.createDataFrame([(i, g) for i, (g, out) in some.items() if out], "doc_id long, good boolean")
     marked = ratios.join(F.broadcast(known), "doc_id").groupBy("doc_id", "good").agg(F.max("log_ratio").alias("log_ratio")).collect()  # `most_labels` rows
     cut = best_share([(r.log_ratio, r.good) for r in marked])
     n, many = ratios.agg(F.count("*"), F.count(F.when(F.col("log_ratio") >= F.lit(float(cut)), 1))).first()

@@ -123,7 +123,7 @@ def test_model_is_normalised_and_learns():
         gram, n = np.unique((before[:, 0] * leaves.n + before[:, 1]) * leaves.n + seen, return_counts=True)
         grams = np.stack([gram // leaves.n**2, gram // leaves.n % leaves.n, gram % leaves.n], axis=1)
         model = start = lbl.initial(leaves, frequency)
-        for k in range(30):
+        for k in range(150):
             model = lbl.train(model, leaves, grams, n, frequency, k)
         assert lbl.log_probabilities(model, leaves, before, seen).mean() > lbl.log_probabilities(start, leaves, before, seen).mean() + 0.2
         every = np.arange(leaves.n)
