@@ -246,3 +246,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_kept: bool = Fals
 
 def query(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
+
+
+#: Of a unitig's spans only their number in a document is told: runs of removed words that don't touch.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT rid, k, array_to_string(w[k:k + {WINDOW - 1}], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - {WINDOW - 2})) AS k FROM d)),
+repeated AS (SELECT rid, k FROM (SELECT rid, k, count(*) OVER (PARTITION BY s) AS c FROM windows) WHERE c > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(k, k + {WINDOW})) AS i FROM repeated),
+runs AS (SELECT rid, count(*) AS n_spans FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM gone) WHERE before IS NULL OR before < i - 1 GROUP BY rid),
+words AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid),
+counts AS (SELECT rid, count(*) AS n_removed FROM gone GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans
+FROM d LEFT JOIN counts USING (rid) LEFT JOIN kept USING (rid) LEFT JOIN runs USING (rid)
+"""

@@ -11,7 +11,12 @@ between them; both scan leftmost without overlap. Separators that may stand only
 first replaced, one for one, by private-use characters, so that patterns are single character loops: no
 backtracking into long runs, no recursion in the regex engine, linear time on very long texts.
 
-Defined cases: a null text is empty: no spans; repeated rows give repeated results; other columns are ignored.
+Running sums and maxima over a text's matches are made in blocks (``_scan``), and context is taken from the pieces between matches: the time
+for a text grows in proportion to its length and matches, as long as these are under a few hundred thousand.
+
+Defined cases: a null text is empty: no spans; repeated rows give repeated results; an empty table gives no rows and no model; a null
+identifier is passed on; matches of one kind never overlap, the leftmost stays; other columns are ignored, whatever their names; very
+long texts are read whole.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from .common import documents, saved, with_text
 KINDS = ("email", "ip", "card", "phone")
 _DOT, _GAP = "", ""
 _SPAN = "array<struct<k:int,s:int,e:int>>"
+_FOUND = "array<struct<k:int,s:int,e:int,m:string,b:string,x:string>>"
 #: Gazetteers and context words.
 TLDS = "com org net edu gov mil int info io co de fr es it uk us eu ch at nl be pl ru cn jp in br ca au mx"
 CALLING_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
@@ -51,10 +57,28 @@ def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def _scan(values: str, merge: str, start: str) -> str:
+    """SQL for the array of what ``merge`` (of x and y) makes of all values before each one, from ``start`` on.
+
+    In blocks of 64: arrays that grow by one element are short, so that time stays in proportion to the length.
+    """
+    grow = "aggregate({values}, named_struct('now', {start}, 'out', filter(array({start}), z -> false)), (x, y) -> named_struct('now', {merge}, 'out', concat(x.out, array(x.now))), x -> x.out)"
+    step = merge.replace("x", "x.now")
+    blocks = f"transform(sequence(0, div(size(v), 64)), i -> slice(v, 64 * i + 1, 64))"
+    totals = f"transform(b, q -> aggregate(q, {start}, (x, y) -> {merge}))"
+    each = grow.format(values="q", start="t[i]", merge=step)
+    return _let("v", values, _let("b", blocks, _let("t", grow.format(values=totals, start=start, merge=step), f"flatten(transform(b, (q, i) -> {each}))")))
+
+
 def _occurrences(k: int, gate: str, text: str, pattern: str) -> str:
-    walk = ("aggregate(arrays_zip(split(t, r'{p}', -1), regexp_extract_all(t, r'{p}', 0)), named_struct('at', 0, 'out', cast(array() as {span})), (a, x) -> named_struct("
-            "'at', a.at + length(x.`0`) + coalesce(length(x.`1`), 0), 'out', if(x.`1` is null, a.out, concat(a.out, array(named_struct('k', {k}, 's', a.at + length(x.`0`), 'e', a.at + length(x.`0`) + length(x.`1`)))))), a -> a.out)")
-    return f"if({gate}, {_let('t', text, walk.format(p=pattern, span=_SPAN, k=k))}, cast(array() as {_SPAN}))"
+    """SQL for all matches: kind, start, end, what matches (m), up to 40 characters before (b), and the one after (x)."""
+    back = {0: f"translate({{}}, '{_DOT}', '.')", 2: f"translate({{}}, '{_GAP}', ' ')"}.get(k, "{}")
+    before = "right(concat(if(i > 0, q[i - 1], ''), p[i]), 40)"
+    after = "left(concat(p[i + 1], if(i + 1 < size(q), q[i + 1], '')), 1)"
+    one = (f"named_struct('k', {k}, 's', at[i] + length(p[i]), 'e', at[i] + length(p[i]) + length(m), 'm', {back.format('m')}, 'b', lower({back.format(before)}), 'x', {back.format(after)})")
+    sums = _scan("transform(q, (m, i) -> length(p[i]) + length(m))", "x + y", "0")
+    body = _let("p", f"split(t, r'{pattern}', -1)", _let("q", f"regexp_extract_all(t, r'{pattern}', 0)", _let("at", sums, f"transform(q, (m, i) -> {one})")))
+    return f"if({gate}, {_let('t', text, body)}, cast(array() as {_FOUND}))"
 
 
 _DIGITS = "regexp_replace(m, r'[^0-9]', '')"
@@ -66,7 +90,7 @@ _GAZETTEER = (
     f"case c.k when 0 then array_contains(split('{TLDS}', ' '), lower(regexp_extract(m, r'([A-Za-z0-9-]*)$', 1))) when 1 then not m rlike r'^0*(0|10|127|2[2-5][0-9])\\.' "
     f"when 2 then m rlike r'^(4|5[1-5]|2[2-7]|3[47]|6)' when 3 then exists(split('{CALLING_CODES}', ' '), x -> startswith(substr(m, 2), x)) else true end")
 _CONTEXT = "case c.k when 0 then b rlike '{email}' when 1 then b rlike '{ip}' when 2 then b rlike '{card}' else b rlike '{phone}' end".format(**CONTEXT)
-_ALONE = "not b rlike r'[\\p{L}0-9]$' and not substr(text, c.e + 1, 1) rlike r'[\\p{L}0-9]'"
+_ALONE = "not b rlike r'[\\p{L}0-9]$' and not c.x rlike r'[\\p{L}0-9]'"
 VOTES = 4
 
 
@@ -77,7 +101,7 @@ def candidates(docs: DataFrame, **cols) -> DataFrame:
     made = ("named_struct('k', if(c.k = 4, 3, c.k), 's', c.s, 'e', c.e, 'base', {valid}, 'digits', length({digits}), "
             "'v', array(cast({valid} as int), cast({gazetteer} as int), cast({context} as int), cast({alone} as int)))")
     made = made.format(valid=_VALID, digits=_DIGITS, gazetteer=_GAZETTEER, context=_CONTEXT, alone=_ALONE)
-    one = _let("m", "substr(text, c.s + 1, c.e - c.s)", _let("b", "lower(substr(text, greatest(c.s - 39, 1), least(c.s, 40)))", made))
+    one = _let("m", "c.m", _let("b", "c.b", made))
     # numbers of fewer than 12 digits can't be cards
     told = raw.select("doc_id", F.expr(f"if(size(found) = 0, null, filter(transform(found, c -> {one}), c -> c.k <> 2 or c.base or c.digits between 12 and 19))").alias("spans"))
     return told
@@ -131,7 +155,13 @@ def find(docs: DataFrame, accept: float = 0.95, **cols) -> DataFrame:
     plain = "x -> named_struct('k', x.k, 's', x.s, 'e', x.e)"
     none = f"cast(array() as {_SPAN})"
     told = spans.selectExpr("doc_id", f"coalesce(array_sort(transform(filter(spans, c -> c.base), {plain})), {none}) as base", f"coalesce(transform(filter(spans, c -> not c.base and {score} > {math.log(accept / (1 - accept))!r}D), {plain}), {none}) as more")
-    return told.selectExpr("doc_id", "base", "array_sort(concat(base, filter(more, x -> not exists(base, y -> x.s < y.e and y.s < x.e)))) as spans")
+    # of all spans in order of their starts, base ones first: those that no base span before reaches, nor one after begins in
+    both = "array_sort(concat(transform(base, x -> named_struct('s', x.s, 'more', 0, 'e', x.e, 'k', x.k)), transform(more, x -> named_struct('s', x.s, 'more', 1, 'e', x.e, 'k', x.k))))"
+    reach = _scan("transform(z, c -> if(c.more = 0, c.e, 0))", "greatest(x, y)", "0")
+    ahead = f"reverse({_scan('transform(reverse(z), c -> if(c.more = 0, c.s, 2147483647))', 'least(x, y)', '2147483647')})"
+    free = "transform(filter(transform(z, (c, i) -> named_struct('c', c, 'free', c.more = 1 and r[i] <= c.s and a[i] >= c.e)), w -> w.free), w -> named_struct('k', w.c.k, 's', w.c.s, 'e', w.c.e))"
+    fresh = _let("z", both, _let("r", reach, _let("a", ahead, free)))
+    return told.selectExpr("doc_id", "base", f"if(size(more) = 0, base, array_sort(concat(base, {fresh}))) as spans")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_dart_minhash": near_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
 }
-ORACLES = {"op10_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op2_debruijn_dedup": debruijn.SQL, "op10_exact_dedup": exact_dedup.SQL}
