@@ -7,7 +7,8 @@ one task. Only the first and last run of a partition can go on in another; those
 partition) are joined by their whole texts afterwards.
 
 Defined cases: a null text is an empty one; rows repeated with the same identifier count as rows, and exactly one
-of them is kept; a null identifier sorts before all others; an empty table gives an empty result; other columns are ignored.
+of them is kept; a null identifier sorts before all others; an empty table gives an empty result; other columns are ignored, whatever
+their names; very long texts are compared whole.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, column, documents, rows_to_batch, saved, text_bytes, with_text
 
+#: Of 40 bytes or so: a broadcast of 4 MB at most.
+MOST_RUNS = 100_000
 _RUNS = "doc_id long, text_sha256 string, part int, grp long, group_size long, best long, stands boolean, edge_text binary"
 
 
@@ -77,9 +80,9 @@ def exact_dedup(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text
     rows = saved(dealt.mapInArrow(_runs(keep == "max"), _RUNS))
     edges = rows.where("edge_text is not null").select("part", "grp", "group_size", "best", "edge_text")
     whole = edges.groupBy("edge_text").agg(F.sum("group_size").alias("all_size"), best(F.struct("best", "part", "grp")).alias("w"))
-    # two runs for each range partition: a few bytes each, whatever the data
-    fixed = edges.join(whole, "edge_text").select("part", "grp", "all_size", F.col("w.best").alias("all_best"), (F.col("w.part") == F.col("part")).alias("wins"))
-    out = rows.drop("edge_text").join(F.broadcast(fixed), ["part", "grp"], "left")
+    # two runs for each range partition, a few bytes each: broadcast while there are no more than ``MOST_RUNS``
+    fixed = saved(edges.join(whole, "edge_text").select("part", "grp", "all_size", F.col("w.best").alias("all_best"), (F.col("w.part") == F.col("part")).alias("wins")))
+    out = rows.drop("edge_text").join(F.broadcast(fixed) if fixed.count() <= MOST_RUNS else fixed, ["part", "grp"], "left")
     return out.select(
         "doc_id", F.when(F.col("wins").isNull(), F.col("best")).otherwise(F.col("all_best")).alias("keep_id"), F.coalesce("all_size", "group_size").alias("group_size"),
         (F.col("stands") & F.coalesce("wins", F.lit(True))).alias("kept"), "text_sha256")

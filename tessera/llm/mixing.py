@@ -13,7 +13,8 @@ sources give way to small ones. A value without any target counts in full, as th
 
 Defined cases: a null text is empty and has no tokens; a null source or language is a value of its own; a document
 without tokens has its cell's probability (1 in a cell without any tokens); repeated rows are decided alike; an empty table
-gives no rows; other columns are ignored.
+gives no rows; other columns are ignored, whatever their names; very long texts are read whole; rows that share an identifier
+share their draw, so that those of one cell are decided alike.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ ROUNDS = 60
 TOLERANCE = 1e-9
 SEED = 4_711
 TOPICS = 8
+#: What the query and the pipeline rake to: languages by these shares, topics evenly, sources by flattened shares.
+TARGETS = {"lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, "topic": {str(k): 1 / TOPICS for k in range(TOPICS)}}
 
 
 def topic_of(text: Column, topics: int = TOPICS) -> Column:
@@ -129,12 +132,12 @@ def _rake_apart(cells: DataFrame, given: dict | None, flatten: float, budget: fl
 
 def mix(docs: DataFrame, targets: dict | None = None, flatten: float = 0.5, budget: float = 0.6, seed: int = SEED, most_cells: int = MOST_CELLS, rounds: int = ROUNDS, topic: Column | None = None,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, factor, probability, kept), a row for each row of ``docs``.
+    """(doc_id, source, lang, topic, n_tokens, mark, factor, probability, kept), a row for each row of ``docs``; mark: xxhash64 of the text.
 
     targets: {"source" | "lang" | "topic": {value: share}}; budget: the expected sample's share of all tokens.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), (topic if topic is not None else topic_of(text)).alias("topic"), n_tokens(text).alias("n_tokens")))
+    base = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), (topic if topic is not None else topic_of(text)).alias("topic"), n_tokens(text).alias("n_tokens"), F.xxhash64(text).alias("mark")))
     cells = saved(base.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
     spark = docs.sparkSession
     if cells.count() <= most_cells:
@@ -150,9 +153,9 @@ def mix(docs: DataFrame, targets: dict | None = None, flatten: float = 0.5, budg
         rates = _rake_apart(cells, targets, flatten, budget, rounds)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
     same = [base[m].eqNullSafe(rates[m]) for m in MARGINS]
-    out = base.join(rates, same[0] & same[1] & same[2]).select(*[base[c] for c in ("doc_id", *MARGINS, "n_tokens")], "factor", "probability")
+    out = base.join(rates, same[0] & same[1] & same[2]).select(*[base[c] for c in ("doc_id", *MARGINS, "n_tokens", "mark")], "factor", "probability")
     return out.withColumn("kept", u < F.col("probability"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir))
+    return mix(documents(spark, sf_dir), TARGETS)

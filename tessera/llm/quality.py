@@ -64,16 +64,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(raw[at]), pa.array(target[at])], schema=arrow_schema("bucket long, raw long, target long"))
 
 
+_RATIOS = "doc_id long, n_grams long, log_ratio double, mark long"
+
+
 def _ratios(log_ratio):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, table = arrow_schema("doc_id long, n_grams long, log_ratio double"), log_ratio.value
+        schema, table = arrow_schema(_RATIOS), log_ratio.value
         for batch in blocks(batches, 1 << 20):
             grams, at = ngram_buckets(text_bytes(batch))
             n = np.diff(at)
             total = np.zeros(len(n))
             if len(grams):
                 total[n > 0] = np.add.reduceat(table[grams], at[:-1][n > 0])
-            kept = [batch.column(batch.schema.get_field_index("doc_id")), pa.array(n), pa.array(total)]
+            kept = [batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(n), pa.array(total), batch.column(batch.schema.get_field_index("mark"))]
             yield pa.RecordBatch.from_arrays(kept, schema=schema)
 
     return run
@@ -111,7 +114,7 @@ def best_share(scored: list[tuple[float, bool]]) -> float:
 
 
 def resample(docs: DataFrame, labels: DataFrame, noise: float = 1.0, most_labels: int = MOST_LABELS, seed: int = SEED, **cols) -> DataFrame:
-    """(doc_id, n_grams, log_ratio, key, kept), a row for each row of ``docs``.
+    """(doc_id, n_grams, log_ratio, mark, key, kept), a row for each row of ``docs``; mark: xxhash64 of the text.
 
     labels: (doc_id, good). noise: the scale of the Gumbel noise; 0 makes the draw a ranking.
     """
@@ -136,7 +139,7 @@ def resample(docs: DataFrame, labels: DataFrame, noise: float = 1.0, most_labels
         raw[r.bucket] += r.raw
         target[r.bucket] += r.target
     table = spark.sparkContext.broadcast(np.log(target / target.sum()) - np.log(raw / raw.sum()))
-    ratios = saved(texts.mapInArrow(_ratios(table), "doc_id long, n_grams long, log_ratio double"))
+    ratios = saved(texts.withColumn("mark", F.xxhash64("text")).mapInArrow(_ratios(table), _RATIOS))
     # noise from the identifier: the same wherever and whenever the row is read
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
     keyed = ratios.withColumn("key", F.col("log_ratio") - F.lit(float(noise)) * F.log(-F.log(u)))
