@@ -56,7 +56,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(_rows(docs, F.xxhash64(_text())), mixing.mix(docs, mixing.TARGETS), "mark").select("row.*")
+    return _only(_rows(docs, F.xxhash64(_text())), mixing.mix(docs), "mark").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
