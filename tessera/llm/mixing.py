@@ -31,7 +31,7 @@ ROUNDS = 60
 TOLERANCE = 1e-9
 SEED = 4_711
 TOPICS = 8
-#: What the query and the pipeline rake to: languages by these shares, topics evenly, sources by flattened shares.
+#: What is raked to unless told otherwise: languages by these shares, topics evenly, sources by flattened shares.
 TARGETS = {"lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, "topic": {str(k): 1 / TOPICS for k in range(TOPICS)}}
 
 
@@ -130,11 +130,11 @@ def _rake_apart(cells: DataFrame, given: dict | None, flatten: float, budget: fl
     return now.select(*MARGINS, F.col("factor"), F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("factor") * F.lit(float(c)))).otherwise(1.0).alias("probability"))
 
 
-def mix(docs: DataFrame, targets: dict | None = None, flatten: float = 0.5, budget: float = 0.6, seed: int = SEED, most_cells: int = MOST_CELLS, rounds: int = ROUNDS, topic: Column | None = None,
+def mix(docs: DataFrame, targets: dict | None = TARGETS, flatten: float = 0.5, budget: float = 0.6, seed: int = SEED, most_cells: int = MOST_CELLS, rounds: int = ROUNDS, topic: Column | None = None,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, mark, factor, probability, kept), a row for each row of ``docs``; mark: xxhash64 of the text.
 
-    targets: {"source" | "lang" | "topic": {value: share}}; budget: the expected sample's share of all tokens.
+    targets: {"source" | "lang" | "topic": {value: share}}, None for flattened shares alone; budget: the expected sample's share of all tokens.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), (topic if topic is not None else topic_of(text)).alias("topic"), n_tokens(text).alias("n_tokens"), F.xxhash64(text).alias("mark")))
@@ -158,4 +158,4 @@ def mix(docs: DataFrame, targets: dict | None = None, flatten: float = 0.5, budg
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir), TARGETS)
+    return mix(documents(spark, sf_dir))
