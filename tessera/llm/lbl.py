@@ -1,6 +1,6 @@
 """Language-model scoring: a log-bilinear neural model trained by noise-contrastive estimation.
 
-Training words are ranked by their counts. The first 2 sqrt(V) of V distinct words are leaves of their own, so the model grows with
+Training words are ranked by their counts. The first sqrt(V) of V distinct words are leaves of their own, so the model grows with
 the vocabulary that the corpus shows; the others share hash leaves, one for 16 own ones; the end of a text is the last leaf.
 Leaves stand in groups of about as many as there are groups, and a token's probability has two log-bilinear factors and a share:
 
@@ -18,7 +18,7 @@ seed; copies are averaged by their tokens, in two steps of bounded groups. Nothi
 its words. Words are known by 64-bit hashes of their bytes.
 
 Bounds: a chunk holds 16 MB, or 16 bytes times the square root of all bytes if that is more (160 MB of 100 TB); a model, which is
-broadcast, has ``MOST_OWN`` own leaves at most (some 20 MB), reached at four billion distinct words.
+broadcast, has ``MOST_OWN`` own leaves at most (some 20 MB), reached at 17 billion distinct words.
 
 Defined cases: a null or empty text is one end token; a null identifier counts as the text "null"; repeated rows count each and score
 alike; of words with equal counts those with the smaller hash rank first; without any training documents all counts are 0 and the base is
@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 from .common import Table, arrow_schema, blocks, column, documents, saved, shared_dir, text_bytes, tidy, with_text
 from .words import hash_words
 
-OWN_PER_ROOT = 2
+OWN_PER_ROOT = 1
 MOST_OWN = 1 << 17
 OWN_PER_HASHED = 16
 DIM = 16
 NOISE = 48
 BATCH = 2048
-RATE = 0.3
+RATE = 0.5
 CHUNK_BYTES = 16 << 20
 HELD_OUT = (7, 2)  # crc32 of the identifier modulo 7 is 2
 SEED = 31
@@ -63,13 +63,16 @@ class Leaves:
         self.groups = -(-self.n // self.size)
         self.of = np.argsort(place)
         self.keys = place[self.of]
+        self.first = np.zeros(1 << 16, bool)  # 16 bits that a key begins with: most other words are told at once
+        self.first[(self.keys >> np.uint64(48)).astype(np.int64)] = True
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         out = self.own + (h >> np.uint64(7)).astype(np.int64) % self.hashed
         if self.own:
-            at = np.minimum(np.searchsorted(self.keys, h), self.own - 1)
-            hit = self.keys[at] == h
-            out[hit] = self.of[at[hit]]
+            some = np.flatnonzero(self.first[(h >> np.uint64(48)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.keys, h[some]), self.own - 1)
+            hit = self.keys[at] == h[some]
+            out[some[hit]] = self.of[at[hit]]
         out[h == END] = self.n - 1
         return out
 
@@ -124,22 +127,20 @@ class _Learner:
         m = self.model
         near, far, vectors = m["r"][before[:, 1]], m["r"][before[:, 0]], m[q][block]
         h = m["c"][0] * near + m["c"][1] * far
-        seen = h @ vectors.T  # that a member comes from the text and not from noise
-        seen += m[b][block] - np.log(noise)
-        np.negative(seen, out=seen)
+        seen = h @ -vectors.T
+        seen += np.log(noise) - m[b][block]
         np.exp(seen, out=seen)
         seen += 1
-        np.reciprocal(seen, out=seen)
+        np.reciprocal(seen, out=seen)  # the probability that a member comes from the text and not from noise
         row = np.arange(len(h))
-        true = seen[row, target] - 1
-        seen *= noise
-        seen[row, target] += true
-        seen *= w[:, None]  # gradients by the scores
-        dh = seen @ vectors
+        # gradients by the scores are these times w and noise, which the small sides of the products take
+        seen[row, target] += (seen[row, target] - 1) / noise[target]
+        dh = seen @ (noise[:, None] * vectors)
+        dh *= w[:, None]
         self.update("r", np.concatenate([before[:, 1], before[:, 0]]), np.concatenate([dh * m["c"][0], dh * m["c"][1]]))
-        self.update("c", slice(None), np.stack([(dh * near).sum(0), (dh * far).sum(0)]))
-        self.update(q, block, seen.T @ h)
-        self.update(b, block, seen.sum(0))
+        self.update("c", slice(None), np.stack([np.einsum("ij,ij->j", dh, near), np.einsum("ij,ij->j", dh, far)]))
+        self.update(q, block, noise[:, None] * (seen.T @ (w[:, None] * h)))
+        self.update(b, block, noise * (w @ seen))
 
 
 def train(model: dict, leaves: Leaves, grams: np.ndarray, counts: np.ndarray, frequency: np.ndarray, seed: int) -> dict:
@@ -186,9 +187,10 @@ def _log_softmax(h: np.ndarray, which: np.ndarray, q: np.ndarray, b: np.ndarray)
     for at in range(0, len(h), 4096):
         scores = h[at : at + 4096] @ q.T
         scores += b
-        scores -= scores.max(1)[:, None]
         mine = scores[np.arange(len(scores)), which[at : at + 4096]]
-        out[at : at + 4096] = mine - np.log(np.exp(scores, out=scores).sum(1))
+        top = scores.max(1)
+        scores -= top[:, None]
+        out[at : at + 4096] = mine - top - np.log(np.exp(scores, out=scores) @ np.ones(len(b), np.float32))
     return out
 
 
@@ -340,8 +342,11 @@ def _score_chunk(flat, leaves, of_leaf, train_tokens: int, distinct: int):
         for batch in blocks(iter(docs.select(["doc_id", "text"]).to_batches()), 1 << 20):
             h, starts = tokens(text_bytes(batch))
             leaf, first = where(h), starts[:-1]
-            at = np.searchsorted(word[:-1], h)
-            count = np.where(word[at] == h, c[at], 0.0)
+            # an own word's count is its leaf's; the chunk's others are looked up
+            other = np.flatnonzero((leaf >= where.own) & (leaf < where.n - 1))
+            at = np.searchsorted(word[:-1], h[other])
+            count = totals[leaf]
+            count[other] = np.where(word[at] == h[other], c[at], 0.0)
             base = np.log10((count + 1) / (train_tokens + distinct + 1))
             # an own word is its leaf; in a hash leaf a word has its share
             share = np.where((leaf < where.own) | (leaf == where.n - 1), 0.0, np.log10((count + 1) / (totals[leaf] + sizes[leaf] + 1)))
