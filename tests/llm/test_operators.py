@@ -122,9 +122,9 @@ def test_model_is_normalised_and_learns():
         before = lbl._before(seen, np.array([0, len(seen)]), leaves.n - 1)
         gram, n = np.unique((before[:, 0] * leaves.n + before[:, 1]) * leaves.n + seen, return_counts=True)
         grams = np.stack([gram // leaves.n**2, gram // leaves.n % leaves.n, gram % leaves.n], axis=1)
-        model = start = lbl.initial(leaves, frequency)
-        for k in range(150):
-            model = lbl.train(model, leaves, grams, n, frequency, k)
+        start = lbl.initial(leaves, frequency)
+        times = 200_000 // len(grams)
+        model = lbl.train(start, leaves, np.tile(grams, (times, 1)), np.tile(n, times), frequency, 1)
         assert lbl.log_probabilities(model, leaves, before, seen).mean() > lbl.log_probabilities(start, leaves, before, seen).mean() + 0.2
         every = np.arange(leaves.n)
         for context in ((1, 0), (0, 1), (leaves.n - 1, 2)):
