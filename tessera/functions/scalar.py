@@ -107,7 +107,7 @@ def cornish_fisher(z, skew, excess) -> Column:
 
 
 def compact_dollars(x) -> Column:
-    """$100k, $44.5M, $2.50M: whole amounts bare, others with three figures; "-" if not finite."""
+    """An amount for a table: in the largest of T, M, k and so on that fits, to three digits, without a fraction where there is none."""
     x = _col(x)
     unit = F.when(x >= 1e12, 1e12).when(x >= 1e9, 1e9).when(x >= 1e6, 1e6).when(x >= 1e3, 1e3).otherwise(1.0)
     mark = F.when(x >= 1e12, "T").when(x >= 1e9, "B").when(x >= 1e6, "M").when(x >= 1e3, "k").otherwise("")

@@ -38,10 +38,10 @@ def bollinger(period: int = 20, k: float = 2.0) -> dict[str, Column]:
 
 
 def rolling_volatility(window: int = 20, annual: float = 252.0, log: bool = True) -> Column:
-    """Needs a column ``ret`` with the return to each bar (NULL at the first)."""
+    """Needs a column ``ret`` with the return to each bar; a pair of prices without one counts as 0."""
     if window < 2:
         raise ValueError("a window is at least 2")
-    return F.when(F.row_number().over(by_ticker()) > window, F.stddev_samp("ret").over(last(window)) * F.sqrt(F.lit(annual)))
+    return F.when(F.row_number().over(by_ticker()) > window, F.stddev_samp(F.coalesce("ret", F.lit(0.0))).over(last(window)) * F.sqrt(F.lit(annual)))
 
 
 def true_range() -> Column:

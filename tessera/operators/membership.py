@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .panel import by_ticker, previous
+from .panel import timeline
 
 
 
@@ -60,8 +60,14 @@ def symbols(text: Column) -> Column:
 
 
 def momentum_ranking(bars: DataFrame, lookback: int = 60, every: int = 20, top: int = 2, spells: DataFrame | None = None, absolute: bool = False) -> DataFrame:
-    """(date, ticker, ret, rank) of the best on rebalance days, counted from each ticker's aligned timeline; ties by ticker."""
-    rows = bars.select("ticker", "date", "close", (F.row_number().over(by_ticker()) - 1).alias("t"), previous("close", lookback).alias("past")).where((F.col("t") >= lookback) & ((F.col("t") - lookback) % every == 0) & (F.col("past") > 0) & (F.col("close") > 0))
+    """(date, ticker, ret, rank) of the best on rebalance days, counted on the timeline of all tickers; ties by ticker.
+
+    The price to compare with is the ticker's own on the day ``lookback`` places before; without one it isn't ranked.
+    """
+    days = timeline(bars)
+    held = bars.select("ticker", "date", "close").join(days, "date")
+    past = held.select("ticker", (F.col("t") + lookback).alias("t"), F.col("close").alias("past"))
+    rows = held.where((F.col("t") >= lookback) & ((F.col("t") - lookback) % every == 0)).join(past, ["ticker", "t"]).where((F.col("past") > 0) & (F.col("close") > 0))
     rows = rows.withColumn("ret", F.col("close") / F.col("past") - 1)
     if spells is not None:
         rows = members(rows, spells)

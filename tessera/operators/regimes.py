@@ -68,3 +68,9 @@ def rolling_summary(rolling: DataFrame, benchmark: str) -> DataFrame:
     base = rolling.where(F.col("ticker") == benchmark).select("date", F.col("sharpe").alias("bench"))
     rows = rolling.join(base, "date", "left")
     return rows.groupBy("ticker").agg(F.count("*").alias("windows"), F.min("sharpe").alias("least"), F.median("sharpe").alias("median"), F.max("sharpe").alias("most"), F.max_by("sharpe", "date").alias("last"), F.avg((F.col("sharpe") > 0).cast("double")).alias("above_zero"), F.avg((F.col("sharpe") > F.col("bench")).cast("double")).alias("above_benchmark"))
+
+
+def analyze(bars: DataFrame, returns: DataFrame, trend: int = 200, window: int = 21, least: int = 252, rolling: int = 252, rf: float = 0.02) -> dict[str, DataFrame]:
+    """Labels of the bars, and of the returns their results by regime and the rolling Sharpe ratio."""
+    labels = classify(bars, trend, window, least)
+    return {"labels": labels, "breakdown": breakdown(labels, returns, rf), "rolling": rolling_sharpe(returns, rolling, rf)}

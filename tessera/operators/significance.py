@@ -38,13 +38,12 @@ def sharpe_of(x: np.ndarray, rf: float = 0.02) -> np.ndarray:
 def politis_white(x: np.ndarray) -> float:
     """The automatic block length of a stationary bootstrap; NaN for short or constant series."""
     n = len(x)
-    if n < 16 or x.std() <= 1e-15:
+    if n < 16 or np.ptp(x) <= 1e-12 * np.abs(x).max():
         return math.nan
-    c = x - x.mean()
     k = int(max(5.0, math.sqrt(math.log10(n))))
     most = math.ceil(math.sqrt(n)) + k
     lags = min(n - 1, 2 * most)
-    g = np.array([(c[i:] * c[: n - i]).sum() / n for i in range(lags + 1)])
+    g = autocovariances(x)[: lags + 1]
     small = np.abs(g / g[0]) < 2 * math.sqrt(math.log10(n) / n)
     m = next((a for a in range(1, lags - k + 1) if small[a + 1 : a + k + 1].all()), math.ceil(math.sqrt(n)))
     wide = max(1, min(2 * m, most, lags))
@@ -87,9 +86,11 @@ def bootstrap_summary(draws: DataFrame, x: str, estimate: float, confidence: flo
         ((1 + F.count(F.when(centred >= estimate, 1))) / (F.count(x) + 1)).alias("p_one_sided"), ((1 + F.count(F.when(F.abs(centred) >= abs(estimate), 1))) / (F.count(x) + 1)).alias("p_two_sided"))
 
 
-def probabilistic_sharpe(moments: DataFrame, target: float = 0.0) -> DataFrame:
-    """Adds ``psr`` to rows with n, mean, std, skew, kurtosis (excess) of per-period returns."""
-    sr = F.when(F.col("std") > 0, F.try_divide(F.col("mean"), F.col("std"))).otherwise(0.0)
+def probabilistic_sharpe(moments: DataFrame, hurdle: float | str = 0.0, rf: float = 0.02) -> DataFrame:
+    """Adds ``psr`` to rows with n, mean, std, skew, kurtosis (excess) of per-period returns: the probability that the true Sharpe ratio is above
+    a yearly hurdle (a number or a column). The risk-free rate goes off the mean before the ratio is formed."""
+    sr = F.when(F.col("std") > 0, F.try_divide(F.col("mean") - rf / YEAR, F.col("std"))).otherwise(0.0)
+    target = (F.col(hurdle) if isinstance(hurdle, str) else F.lit(float(hurdle))) / math.sqrt(YEAR)
     var = 1 - F.col("skew") * sr + (F.col("kurtosis") + 2) / 4 * sr * sr
     z = (sr - target) * F.sqrt(F.col("n") - 1.0) / F.sqrt(F.nullif(F.greatest(var, F.lit(0.0)), F.lit(0.0)))
     return moments.withColumn("psr", F.when(F.col("n") < 3, 0.5).when(var <= 0, (sr > target).cast("double")).otherwise(normal_cdf(z)))
@@ -116,20 +117,33 @@ def effective_trials(returns: DataFrame, key: str = "ticker", order: str = "date
     return mean.crossJoin(n).select("trials", "mean_correlation", (1 + (F.col("trials") - 1) * (1 - F.col("mean_correlation"))).alias("effective"))  # one row each
 
 
-def deflated_sharpe(moments: DataFrame, trials: float, deviation: float) -> DataFrame:
-    """``probabilistic_sharpe`` against the highest that chance would show among the trials (per period)."""
-    from .simulate import quantile_of
+def deflated_sharpe(moments: DataFrame, trials: list[float] | np.ndarray, effective: float | None = None, rf: float = 0.02) -> DataFrame:
+    """``probabilistic_sharpe`` against the highest yearly Sharpe ratio that chance would show among the trials, whose ratios are given.
 
-    best = 0.0 if trials <= 1 else deviation * ((1 - EULER) * quantile_of(1 - 1 / trials) + EULER * quantile_of(1 - 1 / (trials * math.e)))
-    return probabilistic_sharpe(moments, best).withColumnRenamed("psr", "dsr").withColumn("threshold", F.lit(best))
+    effective: how many trials they count for, all of them unless told (``effective_trials``).
+    """
+    trials = np.asarray(trials, float)
+    spread = float(trials.std(ddof=1)) if len(trials) > 1 else 0.0
+    told = moments.withColumn("trials", F.lit(float(effective if effective is not None else len(trials)))).withColumn("trial_sharpe_std", F.lit(spread))
+    told = told.withColumn("threshold", expected_max_sharpe("trials", "trial_sharpe_std"))
+    return probabilistic_sharpe(told, "threshold", rf).withColumnRenamed("psr", "dsr")
 
 
-def long_run_variance(d: np.ndarray, block: float) -> float:
-    n = len(d)
-    c, q, i = d - d.mean(), 1 / block, np.arange(1, n)
-    g = np.array([(c[k:] * c[: n - k]).sum() / n for k in range(n)])
-    kernel = (n - i) / n * (1 - q) ** i + i / n * (1 - q) ** (n - i)
-    return float(g[0] + 2 * (kernel * g[1:]).sum())
+def autocovariances(x: np.ndarray) -> np.ndarray:
+    """Sums of products of centred values so many places apart, over their number, by a transform of twice the length."""
+    n = len(x)
+    waves = np.fft.rfft(x - x.mean(), 2 * n)
+    return np.fft.irfft(waves * waves.conj(), 2 * n)[:n] / n
+
+
+def long_run_variance(x: np.ndarray, block: float) -> float:
+    """The variance of root n times the mean under the stationary bootstrap (Politis and Romano 1994): every autocovariance, on both sides,
+    weighted by the chance that a resample keeps two days so far apart together, around the end of the series as well."""
+    gamma = autocovariances(x)
+    apart = np.arange(len(x)) / len(x)
+    stay = (1 - 1 / block) ** np.arange(len(x) + 1)
+    kept = (1 - apart) * stay[:-1] + apart * stay[:0:-1]
+    return float(2 * kept @ gamma - kept[0] * gamma[0])
 
 
 def predictive_ability(spark: SparkSession, strategies: np.ndarray, benchmark: np.ndarray, resamples: int = 10_000, block: float = 0.0, seed: int = 42) -> DataFrame:

@@ -54,6 +54,21 @@ def sweep_statistics(points: DataFrame, benchmark_sharpe: float) -> DataFrame:
     return points.agg(F.count("*").alias("pairs"), F.max("sharpe").alias("best"), F.element_at(held, (F.floor(F.size(held) / 2) + 1).cast("int")).alias("median"), F.min("sharpe").alias("worst"), F.count(F.when(F.col("sharpe") > benchmark_sharpe, 1)).alias("beat_benchmark"))
 
 
+def buy_and_hold_sharpe(bars: DataFrame, ticker: str, rf: float = 0.02, **common) -> float:
+    """What a sweep's pairs are measured by."""
+    run = run_backtests(bars, configs(bars.sparkSession, [config("hold", "buy_and_hold", ticker=ticker, **common)]))
+    return summaries(run, rf).select("sharpe").first()[0]
+
+
+def top_pairs(points: DataFrame, n: int = 5) -> DataFrame:
+    return points.orderBy(F.desc("sharpe"), "place").limit(n)
+
+
+def best_active(summary: DataFrame, passive: str = "buy_and_hold") -> DataFrame:
+    """The run with the highest Sharpe ratio among those that don't just hold."""
+    return summary.where(F.col("run_id") != passive).orderBy(F.desc("sharpe"), "run_id").limit(1)
+
+
 def folds(spark: SparkSession, bars: int, train: int = 504, test: int = 126) -> DataFrame:
     """(fold, train_begin, train_end, test_begin, test_end), as long as a whole test window fits."""
     n = max(0, (bars - train) // test)
@@ -86,11 +101,21 @@ def walk_forward(bars: DataFrame, ticker: str, train: int = 504, test: int = 126
     return table.join(oos, "fold").join(hold, "fold"), stitched
 
 
-def walk_forward_windows(bars: DataFrame, ticker: str, train: int = 504, test: int = 126, **common) -> list[tuple[int, int, bool]]:
-    """Feasible (train, test, carry) around the defaults, for robustness."""
+def walk_forward_sweep(bars: DataFrame, ticker: str, train: int = 504, test: int = 126, rf: float = 0.02, **common) -> DataFrame:
+    """A fold summary for each feasible window around the defaults, with positions dropped and carried between folds."""
     n = bars.select("date").distinct().count()
     sizes = [(int(train * a), int(test * b)) for a in (1, 0.5, 1.5) for b in (1, 0.5, 1.5)]
-    return [(a, b, c) for a, b in sizes if a + b <= n for c in (False, True)]
+    out = None
+    for a, b in sizes:
+        for carry in (False, True):
+            if a + b > n:
+                continue
+            told = fold_summary(walk_forward(bars, ticker, a, b, carry=carry, rf=rf, **common)[0])
+            row = told.select(F.lit(a).alias("train"), F.lit(b).alias("test"), F.lit(carry).alias("carried"), "*")
+            out = row if out is None else out.unionByName(row)
+    if out is None:
+        raise ValueError("no window fits the bars")
+    return out
 
 
 def fold_summary(table: DataFrame) -> DataFrame:
@@ -116,6 +141,16 @@ def cost_sweep(bars: DataFrame, strategies: list[tuple], levels=LEVELS, rf: floa
     return out.select(F.split("run_id", "@")[0].alias("strategy"), F.split("run_id", "@")[1].cast("double").alias("multiplier"), "sharpe", "total_return", "max_drawdown", "fills", (F.col("commissions") + F.col("slippage_cost") + F.col("spread_cost")).alias("costs"))
 
 
+def cost_breakeven(sweep: DataFrame, target: float = 0.0, of: str = "total_return") -> DataFrame:
+    """The multiple of the costs at which each strategy's result falls to the target."""
+    return first_crossing(sweep, "strategy", "multiplier", of, target)
+
+
+def capacity_breakeven(sweep: DataFrame, target: float = 0.0, of: str = "total_return") -> DataFrame:
+    """The capital at which each strategy's result falls to the target, linear in its logarithm."""
+    return first_crossing(sweep, "strategy", "capital", of, target, log_x=True)
+
+
 def capacity_sweep(bars: DataFrame, strategies: list[tuple], capitals=CAPITALS, cap: float = 0.10, rf: float = 0.02) -> DataFrame:
     """(strategy, capital, results...) with a cap on the part of a bar's volume, set if there is none."""
     spark = bars.sparkSession

@@ -6,9 +6,11 @@ text, ``i`` a whole number, a digit so many decimals (by plain arithmetic: the e
 
 from __future__ import annotations
 
+from math import e
+from statistics import NormalDist, stdev
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import scalar
 from .operators import backtest, indicators, membership, optimize, panel, regimes, risk, significance, simulate
@@ -16,6 +18,11 @@ from .plans import sweeps
 from .sources import files, market
 from .streaming import bars as stream
 
+def _inverse(p: float) -> float:
+    """The normal quantile for oracles, from Python's own library; clamped as the operator's."""
+    return NormalDist().inv_cdf(p) if 0 < p < 1 else -10.0 if p <= 0 else 10.0
+
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -199,11 +206,14 @@ def _spells(spark):
 query("membership_range_join", "ticker date:d close:4", L + f", {SP} SELECT b.* FROM lb b WHERE EXISTS (SELECT 1 FROM sp s WHERE {_IN})")(lambda s, d: membership.members(market.lines(s, d), _spells(s)))
 query("not_member_anti", "ticker date:d close:4", L + f", {SP} SELECT b.* FROM lb b WHERE NOT EXISTS (SELECT 1 FROM sp s WHERE {_IN})")(lambda s, d: membership.not_members(market.lines(s, d), _spells(s)))
 query("members_on", "ticker", f"WITH {SP} SELECT DISTINCT ticker FROM sp WHERE (start_date IS NULL OR start_date <= DATE '1995-05-05') AND (end_date IS NULL OR end_date >= DATE '1995-05-05')")(lambda s, d: membership.members_on(_spells(s), "1995-05-05"))
-_RANK = L + f", t AS (SELECT ticker, date, close, rn - 1 AS t, lag(close, 60) OVER ({W}) AS past FROM lb), rb AS (SELECT date, ticker, close / past - 1 AS ret FROM t b WHERE t >= 60 AND (t - 60) % 20 = 0 AND past > 0 {{more}}) SELECT date, ticker, ret, row_number() OVER (PARTITION BY date ORDER BY ret DESC, ticker) AS rank FROM rb {{where}} QUALIFY rank <= 2"
+_RANK = L + f""", tl AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t FROM (SELECT DISTINCT date FROM lb)), ap AS (SELECT ticker, date, close, t FROM lb JOIN tl USING (date)),
+t AS (SELECT a.*, b.close AS past FROM ap a JOIN ap b ON a.ticker = b.ticker AND a.t = b.t + 60),
+rb AS (SELECT date, ticker, close / past - 1 AS ret FROM t b WHERE t >= 60 AND (t - 60) % 20 = 0 AND past > 0 {{more}}) SELECT date, ticker, ret, row_number() OVER (PARTITION BY date ORDER BY ret DESC, ticker) AS rank FROM rb {{where}} QUALIFY rank <= 2"""
 query("momentum_rank_topk", "date:d ticker ret:8 rank:i", _RANK.format(more="", where=""))(lambda s, d: membership.momentum_ranking(market.lines(s, d)))
 query("dual_momentum", "date:d ticker ret:8 rank:i", _RANK.format(more="", where="WHERE ret > 0"))(lambda s, d: membership.momentum_ranking(market.lines(s, d), absolute=True))
-query("member_momentum", "date:d ticker ret:8 rank:i", (_RANK.format(more="AND EXISTS (SELECT 1 FROM sp s WHERE " + _IN + ")", where="")).replace(", t AS", f", {SP}, t AS", 1))(lambda s, d: membership.momentum_ranking(market.lines(s, d), spells=_spells(s)))
-query("rebalance_days", "ticker date:d t:i", L + "SELECT ticker, date, rn - 1 AS t FROM lb WHERE rn - 1 >= 60 AND (rn - 61) % 20 = 0")(lambda s, d: market.lines(s, d).withColumn("t", F.row_number().over(panel.by_ticker()) - 1).where("t >= 60 and (t - 60) % 20 = 0"))
+query("member_momentum", "date:d ticker ret:8 rank:i", (_RANK.format(more="AND EXISTS (SELECT 1 FROM sp s WHERE " + _IN + ")", where="")).replace(", tl AS", f", {SP}, tl AS", 1))(lambda s, d: membership.momentum_ranking(market.lines(s, d), spells=_spells(s)))
+query("rebalance_days", "ticker date:d t:i", L + ", tl AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t FROM (SELECT DISTINCT date FROM lb)) SELECT ticker, date, t FROM lb JOIN tl USING (date) WHERE t >= 60 AND (t - 60) % 20 = 0")(
+    lambda s, d: (lambda x: x.join(panel.timeline(x), "date").where("t >= 60 and (t - 60) % 20 = 0"))(market.lines(s, d)))
 query("spells_from_snapshots", "ticker start_date:d end_date:d", O + ", ds AS (SELECT date, row_number() OVER (ORDER BY date) AS i, lead(date) OVER (ORDER BY date) AS next FROM (SELECT DISTINCT date FROM ob)), m AS (SELECT ticker, date, next, i - row_number() OVER (PARTITION BY ticker ORDER BY i) AS g FROM (SELECT DISTINCT ticker, date FROM ob) JOIN ds USING (date)) SELECT ticker, min(date) AS start_date, arg_max_null(next, date) - 1 AS end_date FROM m GROUP BY ticker, g")(
     lambda s, d: membership.spells_from_snapshots(market.orders(s, d).select("date", "ticker")))
 _CHANGES = [("2020-01-05", "X", True), ("2020-02-01", "X", True), ("2020-03-01", "X", False), ("2020-05-01", "X", True), ("2020-01-10", "Y", False), ("2020-04-01", "Y", True)]
@@ -225,7 +235,7 @@ _PHI = "(exp(-{z} * {z} / 2) / sqrt(2 * pi()))"
 
 
 def _acklam(p: float) -> str:
-    return f"{simulate.quantile_of(p)!r}::DOUBLE"
+    return f"{simulate.quantile_of(p)!r}::DOUBLE"  # the operator's approximation is part of its definition, here to 8 decimals
 
 
 _PV = L + f", m AS (SELECT ticker, avg(ret) AS mu, stddev_samp(ret) AS sd, skewness(ret) AS s, kurtosis(ret) AS k, {_acklam(0.95)} AS z FROM lr GROUP BY 1), c AS (SELECT *, -(-z + s / 6 * (z * z - 1) + k / 24 * (-z * z * z + 3 * z) - s * s / 36 * (-2 * z * z * z + 5 * z)) AS zc FROM m) "
@@ -250,10 +260,17 @@ query("autocovariance", "ticker lag:i autocovariance:8", L + f", c AS (SELECT ti
 _PAIRS = L + ", pc AS (SELECT a.ticker AS a, b.ticker AS b, count(*) AS n, corr(a.ret, b.ret) AS correlation FROM lr a JOIN lr b ON a.date = b.date AND a.ticker < b.ticker GROUP BY 1, 2) "
 query("pairwise_corr", "a b n:i correlation:6", _PAIRS + "SELECT * FROM pc")(lambda s, d: significance.pair_correlations(_ret(s, d)))
 query("effective_trials", "trials:i mean_correlation:6 effective:6", _PAIRS + "SELECT 3 AS trials, m AS mean_correlation, 1 + 2 * (1 - m) AS effective FROM (SELECT greatest(0, least(1, avg(correlation))) AS m FROM pc)")(lambda s, d: significance.effective_trials(_ret(s, d)))
-query("expected_max_sharpe", "n:i value:8", "SELECT * FROM (VALUES " + ", ".join(f"({n}, {0.1 * ((1 - significance.EULER) * simulate.quantile_of(1 - 1 / n) + significance.EULER * simulate.quantile_of(1 - 1 / (n * 2.718281828459045))) if n > 1 else 0.0!r}::DOUBLE)" for n in (1, 2, 10, 41)) + ") t(n, value)")(
+query("expected_max_sharpe", "n:i value:8", "SELECT * FROM (VALUES " + ", ".join(f"({n}, {0.1 * ((1 - significance.EULER) * _inverse(1 - 1 / n) + significance.EULER * _inverse(1 - 1 / (n * 2.718281828459045))) if n > 1 else 0.0!r}::DOUBLE)" for n in (1, 2, 10, 41)) + ") t(n, value)")(
     lambda s, d: s.createDataFrame([(n,) for n in (1, 2, 10, 41)], "n int").withColumn("value", significance.expected_max_sharpe("n", 0.1)))
-query("psr_dsr", "ticker psr:6 dsr:6")(lambda s, d: significance.probabilistic_sharpe(risk.moments(_ret(s, d))).join(significance.deflated_sharpe(risk.moments(_ret(s, d)), 41, 0.02).select("ticker", "dsr"), "ticker"))
-query("normal_functions", "x:4 pdf:8 cdf:6 quantile:6", "SELECT * FROM (VALUES " + ", ".join(f"(({x})::DOUBLE, exp(-(({x})::DOUBLE * ({x})::DOUBLE) / 2) / sqrt(2 * pi()), {__import__('math').erfc(-x / 2**0.5) / 2!r}::DOUBLE, {simulate.quantile_of(min(max((x + 4) / 8, 0.0), 1.0))!r}::DOUBLE)" for x in (-3.9, -2.5, -1.0, 0.0, 0.3, 1.9, 3.7)) + ") t(x, pdf, cdf, quantile)")(
+_TRIALS = [0.9, 0.1, -0.3, 0.45, 0.2, -0.05, 0.6, 0.3, 0.0, -0.2]
+_TOP = stdev(_TRIALS) * ((1 - significance.EULER) * _inverse(1 - 1 / 10) + significance.EULER * _inverse(1 - 1 / (10 * e)))
+# the normal distribution by its series z (z^2)^k / (1 3 5 ... (2 k + 1))
+_PHI = "0.5::DOUBLE + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda k: z * pow(z * z, k) * exp((k + 1) * ln(2::DOUBLE) + lgamma(k + 2) - lgamma(2 * k + 3))))"
+query("psr_dsr", "ticker psr:6 dsr:5", L + f""", m AS (SELECT ticker, count(*) AS n, (avg(ret) - 0.02::DOUBLE / 252) / stddev_samp(ret) AS sr, skewness(ret) AS g3, kurtosis(ret) AS g4 FROM lr GROUP BY 1),
+zs AS (SELECT ticker, h, (sr - h / sqrt(252)) * sqrt(n - 1) / sqrt(1 - g3 * sr + (g4 + 2) / 4 * sr * sr) AS z FROM m, (VALUES (0.0::DOUBLE), ({_TOP!r}::DOUBLE)) t(h)),
+ps AS (SELECT ticker, h, {_PHI} AS p FROM zs) SELECT ticker, max(p) FILTER (h = 0) AS psr, max(p) FILTER (h > 0) AS dsr FROM ps GROUP BY 1""")(
+    lambda s, d: significance.probabilistic_sharpe(risk.moments(_ret(s, d))).join(significance.deflated_sharpe(risk.moments(_ret(s, d)), _TRIALS).select("ticker", "dsr"), "ticker"))
+query("normal_functions", "x:4 pdf:8 cdf:6 quantile:6", "SELECT * FROM (VALUES " + ", ".join(f"(({x})::DOUBLE, exp(-(({x})::DOUBLE * ({x})::DOUBLE) / 2) / sqrt(2 * pi()), {__import__('math').erfc(-x / 2**0.5) / 2!r}::DOUBLE, {_inverse(min(max((x + 4) / 8, 0.0), 1.0))!r}::DOUBLE)" for x in (-3.9, -2.5, -1.0, 0.0, 0.3, 1.9, 3.7)) + ") t(x, pdf, cdf, quantile)")(
     lambda s, d: s.createDataFrame([(x,) for x in (-3.9, -2.5, -1.0, 0.0, 0.3, 1.9, 3.7)], "x double").select("x", scalar.normal_pdf("x").alias("pdf"), scalar.normal_cdf("x").alias("cdf"), scalar.normal_quantile((F.col("x") + 4) / 8).alias("quantile")))
 
 # costs
@@ -343,9 +360,14 @@ query("backtest_fills", "run_id fill_id:i date:d ticker side quantity:2 executio
 query("backtest_equity_curves", "run_id t:i date:d equity:2 cash:2 positions_value:2 drawdown:8")(lambda s, d: backtest.curves(backtest.run_backtests(_sim(s, d), sweeps.configs(s, sweeps.tournament(**_names)))))
 query("exposure", "run_id exposure:6")(lambda s, d: risk.exposure(backtest.curves(backtest.run_backtests(_sim(s, d), sweeps.configs(s, sweeps.tournament(**_names))))))
 query("sma_sweep", "fast:i slow:i sharpe:4 total_return:6 max_drawdown:6 fills:i")(lambda s, d: sweeps.sma_sweep(_sim(s, d), "A", cash=1e7))
-query("sweep_statistics", "pairs:i best:4 median:4 worst:4 beat_benchmark:i")(lambda s, d: sweeps.sweep_statistics(sweeps.sma_sweep(_sim(s, d), "A", cash=1e7), 0.0))
+query("sweep_statistics", "pairs:i best:4 median:4 worst:4 beat_benchmark:i")(lambda s, d: sweeps.sweep_statistics(sweeps.sma_sweep(_sim(s, d), "A", cash=1e7), sweeps.buy_and_hold_sharpe(_sim(s, d), "A", cash=1e7)))
+query("sweep_top_pairs", "fast:i slow:i sharpe:4 total_return:6")(lambda s, d: sweeps.top_pairs(sweeps.sma_sweep(_sim(s, d), "A", cash=1e7)))
+query("best_active_strategy", "run_id sharpe:4")(lambda s, d: sweeps.best_active(_results(s, d, sweeps.tournament(**_names))))
 query("walk_forward", "fold:i fast:i slow:i is_sharpe:4 oos_sharpe:4 oos_return:6 benchmark_return:6")(lambda s, d: sweeps.walk_forward(_sim(s, d), "A", cash=1e7)[0])
 query("walk_forward_summary", "folds:i mean_is_sharpe:4 mean_oos_sharpe:4 mean_oos_return:6 beat_benchmark:i")(lambda s, d: sweeps.fold_summary(sweeps.walk_forward(_sim(s, d), "A", cash=1e7)[0]))
+query("walk_forward_sweep", "train:i test:i carried folds:i mean_is_sharpe:4 mean_oos_sharpe:4 mean_oos_return:6 beat_benchmark:i")(lambda s, d: sweeps.walk_forward_sweep(_sim(s, d), "A", cash=1e7))
+query("cost_breakeven", "strategy breakeven:6")(lambda s, d: sweeps.cost_breakeven(sweeps.cost_sweep(_sim(s, d), sweeps.tournament(**_names))))
+query("capacity_breakeven", "strategy breakeven:6")(lambda s, d: sweeps.capacity_breakeven(sweeps.capacity_sweep(_sim(s, d), sweeps.tournament(**_names))))
 query("cost_sweep", "strategy multiplier:2 sharpe:4 total_return:6 costs:2")(lambda s, d: sweeps.cost_sweep(_sim(s, d), sweeps.tournament(**_names)))
 query("capacity_sweep", "strategy capital:0 total_return:6 fills:i peak_participation:6 capped_fills:i")(lambda s, d: sweeps.capacity_sweep(_sim(s, d), sweeps.tournament(**_names)))
 query("look_ahead_cost", "strategy next_open:6 same_close:6 difference:6")(lambda s, d: sweeps.look_ahead_cost(_sim(s, d), sweeps.tournament(**_names)))

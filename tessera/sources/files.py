@@ -61,7 +61,8 @@ def _table(rows: DataFrame, aliases: dict) -> DataFrame:
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
     """Every *.csv of a folder (or one file): strict numbers and dates, defaults for columns that aren't there, valid rows only,
     in order, the first of a day. The ticker is the file's stem."""
-    rows = _table(_lines(spark, path, "*.csv"), ALIASES).where("has_date and has_close")
+    rows = _table(_lines(spark, path, "*.csv"), ALIASES)
+    rows = rows.where(F.when(F.col("has_date") & F.col("has_close"), True).otherwise(F.raise_error(F.concat(F.lit("a header without date and close: "), "path"))))
     close = number(F.col("close"))
     either = lambda c, other: F.when(F.col(f"has_{c}"), number(F.col(c))).otherwise(other)
     rows = rows.select(F.regexp_extract("file", r"(.*)\.csv$", 1).alias("ticker"), "nth", day(F.col("date")).alias("date"), close.alias("close"), either("open", close).alias("open"), F.col("has_high"), F.col("has_low"), number(F.col("high")).alias("h"), number(F.col("low")).alias("l"), either("adj_close", close).alias("adj_close"), either("volume", F.lit(0.0)).alias("volume"))
@@ -80,7 +81,7 @@ def read_spells(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: Date forms that price lists use, and what stands for a missing number.
-DATE_FORMS = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy", "yyyyMMdd", "dd MMM yyyy", "MMM dd, yyyy")
+DATE_FORMS = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MMM-yyyy", "yyyyMMdd", "dd MMM yyyy", "MMM dd, yyyy")
 MISSING = ("", "null", "none", "nan", "na", "n/a", "-")
 
 
@@ -97,14 +98,32 @@ def lenient_day(x: Column) -> Column:
     return F.when(digits, F.to_date(F.timestamp_seconds(at))).otherwise(F.coalesce(*[F.try_to_date(x, f) for f in DATE_FORMS], F.try_to_date(F.substring(x, 1, 10), "yyyy-MM-dd")))
 
 
+def import_report(prices: DataFrame, least_rows: int, asked: list[str] | None = None) -> DataFrame:
+    """(ticker, rows, first, last, problem): what was read of each ticker; problem says why one isn't used."""
+    told = prices.groupBy("ticker").agg(F.count("*").alias("rows"), F.min("date").alias("first"), F.max("date").alias("last"))
+    if asked:
+        every = prices.sparkSession.createDataFrame([(t.upper(),) for t in asked], "ticker string")
+        told = every.join(told, "ticker", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    return told.withColumn("problem", F.when(F.col("rows") == 0, "no rows").when(F.col("rows") < least_rows, F.concat(F.lit("fewer rows than "), F.lit(str(least_rows)))))
+
+
+def write_normalised(prices: DataFrame, path: str, least_rows: int = 60, asked: list[str] | None = None) -> DataFrame:
+    """One folder of CSV for each ticker with rows enough, in order, six decimals; returns ``import_report``."""
+    report = import_report(prices, least_rows, asked)
+    used = prices.join(report.where("problem is null").select("ticker"), "ticker", "left_semi")
+    shown = used.select("ticker", "date", *[F.format_string("%.6f", c).alias(c) for c in BAR[:4]], F.format_string("%.0f", "volume").alias("volume"))
+    shown.repartition("ticker").sortWithinPartitions("ticker", "date").write.mode("overwrite").partitionBy("ticker").option("header", True).csv(path)
+    return report
+
+
 def import_prices(spark: SparkSession, path: str, least_rows: int = 1, start: str | None = None, end: str | None = None, tickers: list[str] | None = None) -> DataFrame:
-    """Long price lists (*.csv, folders within folders): a symbol column or the file's stem; prices scaled by adjusted over raw close;
+    """Long price lists (*.csv and *.txt, folders within folders): a symbol column or the file's stem; prices scaled by adjusted over raw close;
     the last of a day; tickers with fewer rows than ``least_rows`` go."""
     aliases = ALIASES | {"symbol": ("symbol", "ticker", "name")}
-    rows = _table(_lines(spark, path, "*.csv", recursive=True), aliases)
+    rows = _table(_lines(spark, path, "*.{csv,txt}", recursive=True), aliases)
     raw = lambda c: lenient_number(F.col(c))
     factor = F.when(F.col("has_adj_close") & (raw("close") > 0) & (raw("adj_close") > 0), raw("adj_close") / raw("close")).otherwise(1.0)
-    out = rows.select(F.upper(F.when(F.col("has_symbol"), F.trim("symbol")).otherwise(F.regexp_extract("file", r"(.*)\.csv$", 1))).alias("ticker"), "path", "nth", lenient_day(F.col("date")).alias("date"), *[(raw(c) * factor).alias(c) for c in BAR[:4]], F.coalesce(raw("volume"), F.lit(0.0)).alias("volume"))
+    out = rows.select(F.upper(F.when(F.col("has_symbol"), F.trim("symbol")).otherwise(F.regexp_extract("file", r"(.*)\.(?:csv|txt)$", 1))).alias("ticker"), "path", "nth", lenient_day(F.col("date")).alias("date"), *[(raw(c) * factor).alias(c) for c in BAR[:4]], F.coalesce(raw("volume"), F.lit(0.0)).alias("volume"))
     out = out.where(F.col("date").isNotNull() & is_valid())
     if start:
         out = out.where(F.col("date") >= F.lit(start).cast("date"))

@@ -5,6 +5,8 @@ Bars are partitioned by ticker and results by run: an upsert rewrites the partit
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,21 +27,33 @@ class Store:
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        """The newest row of each key; other rows of the same partitions stay as they are."""
+        """Of ``rows`` with the same key the last one; they replace stored ones. Other rows of the same partitions stay as they are."""
         part, key = KEYS[name]
+        rows = latest(rows.withColumn("_nth", F.monotonically_increasing_id()), key, "_nth").drop("_nth")
+        stage = None
         if self._exists(name):
             old = self.table(name)
             touched = rows.select(part).distinct()
             stays = old.join(touched, part, "left_semi").join(rows.select(*key), key, "left_anti")
             rows = rows.unionByName(stays, allowMissingColumns=True)
             # what is read from the partitions that are replaced has to stand elsewhere first
-            stage = f"{self.root}/_stage_{name}"
+            stage = f"{self.root}/_stage_{name}_{uuid.uuid4().hex}"
             rows.write.mode("overwrite").parquet(stage)
             rows = self.spark.read.parquet(stage)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(self._path(name))
+        self._replace(name, rows)
+        if stage:
+            self._remove(stage)
+
+    def _replace(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(KEYS[name][0]).parquet(self._path(name))
+
+    def _remove(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").partitionBy(KEYS[name][0]).parquet(self._path(name))
+        """Rows of whole runs: a run that is there already is replaced, so that a repeated write doesn't count twice."""
+        self._replace(name, rows)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._path(name))

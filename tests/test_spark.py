@@ -124,3 +124,81 @@ def test_streaming_ema(spark, tmp_path):
     want = {(r.ticker, r.date): r.e for r in recursive(market.events(spark, SF), {"e": ("ema", 3)}).collect()}
     got = {(r.ticker, r.date): r.ema for r in spark.table("ema_out").collect()}
     assert got.keys() == want.keys() and all((got[k] is None) == (want[k] is None) and (got[k] is None or got[k] == pytest.approx(want[k])) for k in got)
+
+
+def test_pinned_significance(spark):
+    """Fixed values of independent implementations."""
+    import numpy as np
+
+    from tessera.operators import risk, significance
+
+    t = np.arange(750.0)
+    x = 0.0004 + 0.01 * np.sin(0.7 * t) + 0.006 * np.sin(0.013 * t * t) + 0.003 * np.cos(1.9 * t)
+    rows = spark.createDataFrame([("r", i, float(v)) for i, v in enumerate(x)], "ticker string, date int, ret double")
+    moments = risk.moments(rows).cache()
+    assert significance.probabilistic_sharpe(moments).first().psr == pytest.approx(0.8386085863389722, abs=1e-9)
+    assert significance.probabilistic_sharpe(moments, 0.5).first().psr == pytest.approx(0.5511162883541261, abs=1e-9)
+    told = significance.deflated_sharpe(moments, [0.9, 0.1, -0.3, 0.45, 0.2, -0.05, 0.6, 0.3, 0.0, -0.2]).first()
+    assert told.trial_sharpe_std == pytest.approx(0.3719318934070233, abs=1e-12) and told.threshold == pytest.approx(0.5856433275750075, abs=1e-6) and told.dsr == pytest.approx(0.49247193587208515, abs=1e-6)
+    assert moments.first().sharpe == pytest.approx(0.5746751972287912, abs=1e-12)
+
+    t = np.arange(250.0)
+    bench = 0.0003 + 0.009 * np.sin(0.31 * t) + 0.004 * np.cos(0.017 * t * t)
+    some = np.stack([bench + 0.0002 + 0.006 * np.sin(0.9 * t + 1.0), bench - 0.0012 + 0.005 * np.cos(0.45 * t) + 0.003 * np.sin(0.07 * t * t), 0.5 * bench + 0.008 * np.sin(1.7 * t)])
+    r = significance.predictive_ability(spark, some, bench, resamples=500, block=4.0, seed=11).first()
+    want = {"rc_statistic": 0.0031854958690369925, "spa_statistic": 0.8975155143036216, "p_rc": 0.5848303393213573, "p_lower": 0.249500998003992, "p_consistent": 0.32934131736526945, "p_upper": 0.4411177644710579}
+    assert all(r[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
+def test_momentum_days_are_those_of_the_timeline(spark):
+    import datetime
+
+    from tessera.operators import membership
+
+    first = datetime.date(2023, 1, 1)
+    rows = [("A", first + datetime.timedelta(i), 100.0 * 1.01**i) for i in range(12)] + [("B", first + datetime.timedelta(i), 100.0 * 1.02**i) for i in range(3, 12)]
+    got = membership.momentum_ranking(spark.createDataFrame(rows, "ticker string, date date, close double"), lookback=4, every=4, top=2).orderBy("date", "rank").collect()
+    assert [((r.date - first).days, r.ticker) for r in got] == [(4, "A"), (8, "B"), (8, "A")]
+
+
+def test_store_keeps_one_row_a_key_and_repeats_writes(spark, tmp_path):
+    from tessera.sources.store import Store
+
+    store = Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([("A", "2023-01-01", 1.0), ("A", "2023-01-01", 9.0), ("A", "2023-01-02", 2.0)], "ticker string, date string, close double").coalesce(1)
+    store.upsert("market_data", rows)
+    store.upsert("market_data", rows.where("close = 2.0").withColumn("close", F.lit(3.0)))
+    assert sorted((r.date, r.close) for r in store.table("market_data").collect()) == [("2023-01-01", 9.0), ("2023-01-02", 3.0)]
+    for _ in range(2):
+        store.append("trades", spark.createDataFrame([("r1", 1), ("r1", 2)], "run_id string, fill_id int"))
+    assert store.table("trades").count() == 2 and not list(tmp_path.glob("_stage*"))
+
+
+def test_headers_without_a_date_are_an_error(spark, tmp_path):
+    from tessera.sources import files
+
+    (tmp_path / "X.csv").write_text("Day,Open\n2023-01-01,5\n")
+    with pytest.raises(Exception, match="header without date"):
+        files.read_bars(spark, str(tmp_path)).collect()
+
+
+def test_normalised_files_and_report(spark, tmp_path):
+    from tessera.sources import files
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "p.txt").write_text("symbol,date,open,high,low,close,volume\n" + "".join(f"aa,{d:02d}-Jan-2020,{d},{d + 1},{d},{d},9\n" for d in range(1, 6)) + "bb,05-Jan-2020,7,7,7,7,0\n")
+    prices = files.import_prices(spark, str(tmp_path / "in"))
+    report = {r.ticker: (r.rows, r.problem) for r in files.write_normalised(prices, str(tmp_path / "out"), 3, ["aa", "bb", "cc"]).collect()}
+    assert report == {"AA": (5, None), "BB": (1, "fewer rows than 3"), "CC": (0, "no rows")}
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 5
+
+
+def test_a_bad_price_pair_counts_as_no_return(spark):
+    import statistics
+
+    from tessera.operators import indicators
+
+    rets = [None, 0.01, None, -0.02, 0.03]
+    rows = spark.createDataFrame([("A", i, r) for i, r in enumerate(rets)], "ticker string, date int, ret double")
+    got = rows.select("date", indicators.rolling_volatility(4).alias("v")).orderBy("date").collect()
+    assert got[3].v is None and got[4].v == pytest.approx(statistics.stdev([0.01, 0.0, -0.02, 0.03]) * 252**0.5)
