@@ -12,8 +12,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.scalar import COSTS
 from .indicators import rsi
@@ -236,6 +239,7 @@ def simulate(panel: Panel, strategy: Strategy, cash: float = 100_000.0, costs: d
     account, out = Account(cash, np.zeros(n), np.zeros(n), cash), Result()
     peak, ids, queue, carried = cash, 0, [], []
     strategy.start(panel)
+    known = pd.DataFrame(panel.close).ffill().fillna(0.0).to_numpy()  # the last price known
 
     def execute(orders: list[Order], t: int, prices: np.ndarray) -> list[Order]:
         nonlocal ids
@@ -284,15 +288,16 @@ def simulate(panel: Panel, strategy: Strategy, cash: float = 100_000.0, costs: d
             queue = batch
         else:
             carried = execute(batch, t, panel.close)
-        close = panel.close[t]
-        there = ~np.isnan(close)
-        short = (account.quantity < -EPS) & there
-        fee = float((-account.quantity[short] * close[short]).sum()) * costs["borrow"] / 252 if costs["borrow"] > 0 else 0.0
-        if fee > 0:
-            account.cash -= fee
-            out.borrow += fee
-        last = np.where(there, close, 0.0) if t == 0 else np.where(there, close, last)  # noqa: F821  the last price known
-        value = float((account.quantity * last).sum())
+        if account.quantity.any():
+            if costs["borrow"] > 0:
+                close = panel.close[t]
+                short = (account.quantity < -EPS) & ~np.isnan(close)
+                fee = float((-account.quantity[short] * close[short]).sum()) * costs["borrow"] / 252
+                account.cash -= fee
+                out.borrow += fee
+            value = float(account.quantity @ known[t])
+        else:
+            value = 0.0
         account.equity = account.cash + value
         peak = max(peak, account.equity)
         out.curve.append((date, account.equity, account.cash, value, (peak - account.equity) / peak if peak > 0 else 0.0))
@@ -319,11 +324,22 @@ def _schema(kind: str) -> str:
     return f"run_id string, fills array<struct<{_FILL.format(d=kind).replace(' ', ':').replace(',:', ', ')}>>, curve array<struct<{_POINT.format(d=kind).replace(' ', ':').replace(',:', ', ')}>>, rejected long, capped long, cancelled long, unfilled long, borrow double, offset int"
 
 
-def _row(config: dict, panel: Panel) -> dict:
-    r = run_one(panel, config)
-    begin = config.get("begin") or 0
-    names = ("date", "equity", "cash", "positions_value", "drawdown")
-    return {"run_id": config["run_id"], "fills": r.fills, "curve": [dict(zip(names, x)) for x in r.curve], "rejected": r.rejected, "capped": r.capped, "cancelled": r.cancelled, "unfilled": r.unfilled, "borrow": r.borrow, "offset": begin - max(0, begin - (config.get("warmup") or 0))}
+_COUNTERS = ("rejected", "capped", "cancelled", "unfilled", "borrow")
+
+
+def _table(configs: list[dict], results: list[Result], schema: pa.Schema) -> pa.Table:
+    """Runs as rows; the points of all curves stand in one array for each field."""
+    point = schema.field("curve").type.value_type
+    points = [x for r in results for x in r.curve]
+    columns = [pa.array(x, f.type) for x, f in zip(zip(*points), point)] if points else [pa.array([], f.type) for f in point]
+    edges = np.cumsum([0, *(len(r.curve) for r in results)])
+    begins = [c.get("begin") or 0 for c in configs]
+    made = {
+        "run_id": [c["run_id"] for c in configs], "fills": [r.fills for r in results], **{k: [getattr(r, k) for r in results] for k in _COUNTERS},
+        "offset": [b - max(0, b - (c.get("warmup") or 0)) for b, c in zip(begins, configs)]}
+    made = {k: pa.array(v, schema.field(k).type) for k, v in made.items()}
+    made["curve"] = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(point)), type=schema.field("curve").type)
+    return pa.table([made[f.name] for f in schema], schema=schema)
 
 
 def _clean(row: dict) -> dict:
@@ -335,22 +351,27 @@ def run_backtests(bars: DataFrame, configs: DataFrame, most_broadcast: int = MOS
     spark = bars.sparkSession
     panel = bars.select("ticker", "date", "open", "close", "volume")
     schema = _schema(dict(bars.dtypes)["date"])
-    if panel.limit(most_broadcast + 1).count() <= most_broadcast:
-        held = spark.sparkContext.broadcast(Panel.of(panel.toPandas()))  # its rows are counted above
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    some = panel.limit(most_broadcast + 1).toPandas()
+    if len(some) <= most_broadcast:
+        held = spark.sparkContext.broadcast(Panel.of(some))
 
         def spread(batches):
-            for pdf in batches:
-                yield pd.DataFrame([_row(_clean(c), held.value) for c in pdf.to_dict("records")])
+            for batch in batches:
+                for at in range(0, batch.num_rows, 8):
+                    some = [_clean(c) for c in batch.slice(at, 8).to_pylist()]
+                    yield from _table(some, [run_one(held.value, c) for c in some], arrow).to_batches()
 
         n = max(1, min(configs.count(), 4 * spark.sparkContext.defaultParallelism))
-        return configs.repartition(n).mapInPandas(spread, schema)
+        return configs.repartition(n).mapInArrow(spread, schema).persist()  # summaries read runs several times
 
     names = [c.split()[0].strip("`") for c in CONFIG.split(", ")]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([_row(_clean(pdf[names].iloc[0].to_dict()), Panel.of(pdf))])
+    def fold(table: pa.Table) -> pa.Table:
+        some = [_clean(table.select(names).slice(0, 1).to_pylist()[0])]
+        return _table(some, [run_one(Panel.of(table.to_pandas(date_as_object=True)), some[0])], arrow)
 
-    return panel.join(F.broadcast(configs.limit(100_000)) if configs.limit(100_001).count() <= 100_000 else configs).groupBy("run_id").applyInPandas(fold, schema)
+    return panel.join(F.broadcast(configs.limit(100_000)) if configs.limit(100_001).count() <= 100_000 else configs).groupBy("run_id").applyInArrow(fold, schema).persist()
 
 
 def curves(runs: DataFrame) -> DataFrame:
@@ -370,11 +391,22 @@ def curve_returns(runs: DataFrame) -> DataFrame:
     return rows.withColumn("ret", F.when(before > 0, F.col("equity") / before - 1).when(before.isNotNull(), 0.0)).where("ret is not null and t > offset").select("run_id", "t", "date", "ret")
 
 
-def summaries(runs: DataFrame, rf: float = 0.02) -> DataFrame:
-    """A row for each run: returns, risk, trades, costs."""
-    from .risk import cost_totals, performance, trade_metrics
+def summaries(runs: DataFrame, rf: float = 0.02, confidence: float = 0.95) -> DataFrame:
+    """A row for each run: returns, risk, trades, costs. Years are those between the first and the last day."""
+    from .risk import cost_totals, performance, sortino, trade_metrics, volatility
+    from ..functions.scalar import cagr, calmar
 
-    perf = performance(curve_returns(runs), "run_id", rf, "t")
+    rets = curve_returns(runs)
+    perf = performance(rets, "run_id", rf, "t").drop("cagr", "calmar")
+    x = F.sort_array(F.collect_list("ret"))  # of one run
+    k = F.floor((1 - F.lit(confidence)) * F.size("x") + 1e-9).cast("int") + 1
+    tail = rets.groupBy("run_id").agg(x.alias("x"), sortino().alias("sortino"), volatility().alias("volatility"))
+    worst = F.slice("x", 1, F.least(k, F.size("x")))
+    tail = tail.select("run_id", "sortino", "volatility", (-F.element_at(worst, -1)).alias("var_95"), (-F.aggregate(worst, F.lit(0.0), lambda a, b: a + b) / F.size(worst)).alias("cvar_95"))
     f = fills(runs)
-    out = runs.select("run_id", "rejected", "capped", "cancelled", "unfilled", "borrow", F.element_at("curve", -1)["equity"].alias("final_equity")).join(perf, "run_id", "left").join(trade_metrics(f), "run_id", "left").join(cost_totals(f), "run_id", "left")
-    return out.fillna(0.0).fillna(0)
+    ends = [F.get("curve", F.col("offset"))["date"], F.element_at("curve", -1)["date"]]
+    out = runs.select("run_id", *_COUNTERS, F.element_at("curve", -1)["equity"].alias("final_equity"), ends[0].alias("start_date"), ends[1].alias("end_date"))
+    out = out.join(perf, "run_id", "left").join(tail, "run_id", "left").join(trade_metrics(f), "run_id", "left").join(cost_totals(f), "run_id", "left")
+    years = F.datediff("end_date", "start_date") / 365.25
+    out = out.withColumn("cagr", cagr("total_return", F.when(years > 0, years).otherwise(F.col("days") / 252.0)))
+    return out.withColumn("calmar", calmar("cagr", "max_drawdown")).fillna(0.0).fillna(0)

@@ -2,32 +2,56 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .indicators import last, trailing_return
-from .panel import by_ticker, previous
+from .panel import previous
 from .risk import sharpe
 
 BUCKETS = ("All", "Bull", "Bear", "TrendUnknown", "LowVol", "MidVol", "HighVol", "VolUnknown")
 YEAR = 252.0
 
 
+def _with_cuts(rows: DataFrame, least: int) -> DataFrame:
+    """Adds low_cut and high_cut: a third and two thirds of the way up a ticker's volatilities so far, linear between neighbours.
+
+    A percentile over a frame that grows is made anew for every row; here each ticker's values are kept in order as they come.
+    """
+    day = dict(rows.dtypes)["date"]
+    schema = f"ticker string, date {day}, trailing_return double, realized_vol double, low_cut double, high_cut double"
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("date")
+        seen, cuts = [], ([], [])
+        for v in table["realized_vol"].to_pylist():
+            if v is not None:
+                insort(seen, v)
+            for p, out in zip((1 / 3, 2 / 3), cuts):
+                at = p * (len(seen) - 1)
+                k = int(at)
+                out.append(None if v is None or len(seen) < least else seen[k] + (at - k) * (seen[min(k + 1, len(seen) - 1)] - seen[k]))
+        return table.append_column("low_cut", pa.array(cuts[0], pa.float64())).append_column("high_cut", pa.array(cuts[1], pa.float64()))
+
+    return rows.select("ticker", "date", "trailing_return", "realized_vol").groupBy("ticker").applyInArrow(one, schema)
+
+
 def classify(bars: DataFrame, trend: int = 200, window: int = 21, least: int = 252) -> DataFrame:
     """A trend by the trailing return, a volatility class by terciles of all volatilities so far (today's among them)."""
     good = (previous() > 0) & (F.col("close") > 0)
     rows = bars.select("ticker", "date", "close", trailing_return(trend).alias("trailing_return"), F.when(good, F.col("close") / previous() - 1).alias("ret"))
     vol = F.when(F.count("ret").over(last(window)) == window, F.stddev_samp("ret").over(last(window)) * F.sqrt(F.lit(YEAR)))
     rows = rows.withColumn("realized_vol", vol)
-    so_far = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
-    cuts = F.percentile("realized_vol", F.array(F.lit(1 / 3), F.lit(2 / 3))).over(so_far)
-    rows = rows.withColumn("cuts", F.when((F.count("realized_vol").over(so_far) >= least) & F.col("realized_vol").isNotNull(), cuts))
-    low, high = F.col("cuts")[0], F.col("cuts")[1]
+    rows = _with_cuts(rows, least)
+    low, high = F.col("low_cut"), F.col("high_cut")
     return rows.select(
         "ticker", "date", F.when(F.col("trailing_return").isNull(), "TrendUnknown").when(F.col("trailing_return") > 0, "Bull").otherwise("Bear").alias("trend"),
         F.when(low.isNull(), "VolUnknown").when(F.col("realized_vol") <= low, "LowVol").when(F.col("realized_vol") >= high, "HighVol").otherwise("MidVol").alias("volatility"),
-        "trailing_return", "realized_vol", low.alias("low_cut"), high.alias("high_cut"))
+        "trailing_return", "realized_vol", "low_cut", "high_cut")
 
 
 def breakdown(labels: DataFrame, returns: DataFrame, rf: float = 0.02) -> DataFrame:

@@ -50,7 +50,7 @@ def _paths(spark: SparkSession, paths: int, walk) -> DataFrame:
                     worst = np.maximum(worst, 1 - wealth / peak)
                 yield pd.DataFrame({"path": ids, "terminal": wealth, "max_drawdown": worst})
 
-    return spark.range(0, paths, 1, max(1, min(-(-paths // PATHS_AT_ONCE), 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, PATH)
+    return spark.range(0, paths, 1, max(1, min(-(-paths // 512), spark.sparkContext.defaultParallelism * max(1, paths // (16 * PATHS_AT_ONCE * spark.sparkContext.defaultParallelism))))).mapInPandas(run, PATH)
 
 
 def bootstrap_paths(spark: SparkSession, history: np.ndarray, paths: int = 50_000, days: int = 252, block: float = 1.0, seed: int = 42) -> DataFrame:
@@ -112,19 +112,37 @@ def gbm_portfolio_paths(spark: SparkSession, mu: np.ndarray, cov_daily: np.ndarr
 
 
 def summarise(paths: DataFrame, cash: float = 1.0) -> DataFrame:
-    """Moments, percentiles, loss probabilities, value at risk, and the mean of the worst twentieth of outcomes."""
+    """Moments, percentiles, loss probabilities, value at risk, and the mean of the worst twentieth of outcomes.
+
+    Paths are read twice, so they are kept meanwhile; what is lost with an executor is simulated again, to the same numbers.
+    """
+    paths = paths.persist()
+    try:
+        return _summary(paths, cash)
+    finally:
+        paths.unpersist()
+
+
+def _summary(paths: DataFrame, cash: float) -> DataFrame:
     w = F.col("terminal") * cash
-    at = (1, 5, 25, 50, 75, 95, 99)
+    at, deep = (1, 5, 25, 50, 75, 95, 99), (50, 95, 99)
+    every = lambda x, points: F.percentile(x, F.array(*[F.lit(p / 100) for p in points]))
     base = paths.agg(
-        F.count("*").alias("paths"), F.avg(w).alias("mean"), F.stddev_samp(w).alias("std"), *[F.percentile(w, p / 100).alias(f"p{p:02d}") for p in at], *[F.percentile("max_drawdown", p / 100).alias(f"dd{p:02d}") for p in (50, 95, 99)],
+        F.count("*").alias("paths"), F.avg(w).alias("mean"), F.stddev_samp(w).alias("std"), every(w, at).alias("ps"), every("max_drawdown", deep).alias("dds"),
         F.avg((F.col("terminal") < 1).cast("double")).alias("p_loss"), F.avg((F.col("terminal") < 0.9).cast("double")).alias("p_loss_10"), F.avg((F.col("terminal") < 0.8).cast("double")).alias("p_loss_20"))
-    # ranks within ranges of outcomes: the worst twentieth lies at and below the range that holds its end
-    n = base.select(F.ceil(F.col("paths") * 0.05).alias("k"), F.col("p05").alias("edge"))
-    low = paths.withColumn("w", w).join(F.broadcast(n), F.col("w") <= F.col("edge") * (1 + 1e-12) + 1e-300)  # one row broadcast
-    tail = low.agg(F.sum(F.when(F.col("w") < F.col("edge"), F.col("w"))).alias("s"), F.count(F.when(F.col("w") < F.col("edge"), 1)).alias("c"), F.max("k").alias("k"), F.max("edge").alias("edge"))
-    out = base.crossJoin(F.broadcast(tail))
-    short = (F.coalesce("s", F.lit(0.0)) + F.greatest(F.col("k") - F.col("c"), F.lit(0)) * F.col("edge")) / F.greatest("k", "c")
-    return out.withColumn("var_95", (F.lit(cash) - F.col("p05")) / cash).withColumn("cvar_95", (F.lit(cash) - short) / cash).drop("s", "c", "k", "edge")
+    base = base.select("paths", "mean", "std", *[F.col("ps")[k].alias(f"p{p:02d}") for k, p in enumerate(at)], *[F.col("dds")[k].alias(f"dd{p:02d}") for k, p in enumerate(deep)], "p_loss", "p_loss_10", "p_loss_20")
+    row = base.first().asDict()
+    # the worst twentieth: all outcomes below its last one, and that one as often as it takes
+    many, edge = math.ceil(row["paths"] * 0.05), row["p05"]
+    below = w < F.lit(edge if edge is not None else 0.0)
+    low = paths.agg(F.sum(F.when(below, w)).alias("s"), F.count(F.when(below, 1)).alias("c"), F.min(F.when(~below, w)).alias("next")).first()
+    if row["paths"]:
+        short = ((low.s or 0.0) + max(many - low.c, 0) * (low.next if many > low.c else 0.0)) / max(many, low.c)
+        row |= {"var_95": (cash - edge) / cash, "cvar_95": (cash - short) / cash}
+    else:
+        row |= {"var_95": None, "cvar_95": None}
+    kinds = ", ".join(f"{k} {'long' if k == 'paths' else 'double'}" for k in row)
+    return paths.sparkSession.createDataFrame([tuple(row.values())], kinds)
 
 
 def gbm_price_paths(spark: SparkSession, start: float, mu: float, sigma: float, days: int, paths: int, seed: int = 42) -> DataFrame:
