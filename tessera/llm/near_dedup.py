@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import Table, arrow_schema, blocks, documents, saved, text_bytes, tidy, with_text
 from .words import hash_words, mixed, span_hashes, window_hashes
 
+#: SQL for the class of a text in a table of 2^24 bits.
+_PLACE = f"(mark & {(1 << 24) - 1}L)"
 SHINGLE = 5
 SIMILARITY = 0.8
 COORDINATES = 64
@@ -297,7 +299,10 @@ def _labels(base: DataFrame, nodes: DataFrame, similarity: float, counted: bool,
     rest = saved(met.df.where("n > 2").select("bucket", F.col("b").alias("id")))
     shown = saved(known.select("id", "doc", "mark").join(rest.select("id").union(near.select("a")).union(near.select("b")), "id", "left_semi"))
     tidy(base.sparkSession, met)
-    texts = base.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "mark", "text").join(shown, ["doc", "mark"]).groupBy("id").agg(F.min("text").alias("text"))  # rows that repeat, once
+    # a bit for each of 2^24 classes of texts, 64 in a row: most other texts needn't travel to the join
+    words = saved(shown.groupBy(F.expr(f"shiftright({_PLACE}, 6)").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({_PLACE} & 63 as int)))").alias("bits")))
+    some = base.withColumn("word", F.expr(f"shiftright({_PLACE}, 6)")).join(F.broadcast(words), "word").where(F.expr(f"shiftright(bits, cast({_PLACE} & 63 as int)) & 1L = 1L"))  # 2^18 rows at most
+    texts = some.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "mark", "text").join(shown, ["doc", "mark"]).groupBy("id").agg(F.min("text").alias("text"))  # rows that repeat, once
     sets = saved(texts.mapInArrow(_sets(counted), "id long, shingles array<long>"))
     tidy(base.sparkSession)
     links = _checked(near, sets, similarity)
