@@ -101,25 +101,41 @@ def walk_forward(bars: DataFrame, ticker: str, train: int = 504, test: int = 126
     return table.join(oos, "fold").join(hold, "fold"), stitched
 
 
-def walk_forward_sweep(bars: DataFrame, ticker: str, train: int = 504, test: int = 126, rf: float = 0.02, **common) -> DataFrame:
-    """A fold summary for each feasible window around the defaults, with positions dropped and carried between folds."""
+def walk_forward_sweep(bars: DataFrame, ticker: str, train: int = 504, test: int = 126, fast=WALK_FAST, slow=WALK_SLOW, rf: float = 0.02, **common) -> DataFrame:
+    """A fold summary for each feasible window around the defaults, with positions dropped and carried between folds.
+
+    All windows' training sweeps are one job, all their tests another, as in ``walk_forward``.
+    """
+    spark = bars.sparkSession
     n = bars.select("date").distinct().count()
-    sizes = [(int(train * a), int(test * b)) for a in (1, 0.5, 1.5) for b in (1, 0.5, 1.5)]
-    out = None
-    for a, b in sizes:
-        for carry in (False, True):
-            if a + b > n:
-                continue
-            told = fold_summary(walk_forward(bars, ticker, a, b, carry=carry, rf=rf, **common)[0])
-            row = told.select(F.lit(a).alias("train"), F.lit(b).alias("test"), F.lit(carry).alias("carried"), "*")
-            out = row if out is None else out.unionByName(row)
-    if out is None:
+    windows = [(x, y) for x, y in ((int(train * i), int(test * j)) for i in (1, 0.5, 1.5) for j in (1, 0.5, 1.5)) if x + y <= n]
+    if not windows:
         raise ValueError("no window fits the bars")
-    return out
+    plan = [(w, k, k * y, k * y + x, k * y + x + y) for w, (x, y) in enumerate(windows) for k in range((n - x) // y)]  # (window, fold, begin, cut, end)
+    pairs = [(f, g, i * len(slow) + j) for i, f in enumerate(fast) for j, g in enumerate(slow) if f < g]
+    trials = run_backtests(bars, configs(spark, [config(f"{w}/{k}/{f}/{g}/{p}", "sma_crossover", begin=begin, end=cut, ticker=ticker, fast=f, slow=g, **common) for w, k, begin, cut, _ in plan for f, g, p in pairs]))
+    part = lambda i: F.split("run_id", "/")[i].cast("int")
+    ranked = summaries(trials, rf).select(part(0).alias("w"), part(1).alias("fold"), part(2).alias("fast"), part(3).alias("slow"), part(4).alias("place"), F.col("sharpe").alias("is_sharpe"))
+    best = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("w", "fold").orderBy(F.desc("is_sharpe"), "place"))).where("rank = 1")
+    chosen = {(r.w, r.fold): r for r in best.collect()}  # a row for each fold
+    rows = []
+    for w, k, _, cut, end in plan:
+        c = chosen[w, k]
+        rows += [config(f"{w}/{k}/{carry}", "sma_crossover", begin=cut, end=end, warmup=max(slow), carry=carry, ticker=ticker, fast=c.fast, slow=c.slow, **common) for carry in (False, True)]
+        rows.append(config(f"{w}/{k}/hold", "buy_and_hold", begin=cut, end=end, ticker=ticker, **common))
+    told = summaries(run_backtests(bars, configs(spark, rows)), rf).select(part(0).alias("w"), part(1).alias("fold"), F.split("run_id", "/")[2].alias("kind"), "sharpe", "total_return")
+    hold = told.where("kind = 'hold'").select("w", "fold", F.col("total_return").alias("benchmark_return"))
+    sizes = spark.createDataFrame([(w, k, *windows[w], float(chosen[w, k].is_sharpe)) for w, k, *_ in plan], "w int, fold int, train int, test int, is_sharpe double")
+    table = told.where("kind <> 'hold'").join(hold, ["w", "fold"]).join(sizes, ["w", "fold"])
+    return table.withColumn("carried", F.col("kind") == "True").groupBy("train", "test", "carried").agg(*_fold_means(F.col("sharpe"), F.col("total_return")))
+
+
+def _fold_means(oos_sharpe, oos_return) -> list:
+    return [F.count("*").alias("folds"), F.avg("is_sharpe").alias("mean_is_sharpe"), F.avg(oos_sharpe).alias("mean_oos_sharpe"), F.avg(oos_return).alias("mean_oos_return"), F.count(F.when(oos_return > F.col("benchmark_return"), 1)).alias("beat_benchmark")]
 
 
 def fold_summary(table: DataFrame) -> DataFrame:
-    return table.agg(F.count("*").alias("folds"), F.avg("is_sharpe").alias("mean_is_sharpe"), F.avg("oos_sharpe").alias("mean_oos_sharpe"), F.avg("oos_return").alias("mean_oos_return"), F.count(F.when(F.col("oos_return") > F.col("benchmark_return"), 1)).alias("beat_benchmark"))
+    return table.agg(*_fold_means(F.col("oos_sharpe"), F.col("oos_return")))
 
 
 def first_crossing(points: DataFrame, key: str, x: str, y: str, target: float, log_x: bool = False) -> DataFrame:
