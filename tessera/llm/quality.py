@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, blocks, column, documents, rows_to_batch, saved, text_bytes, with_text
+from .common import arrow_schema, blocks, column, documents, saved, text_bytes, with_text
 from .words import PUNCTUATION, hash_words
 
 BUCKETS = 1 << 15
