@@ -265,10 +265,10 @@ query("expected_max_sharpe", "n:i value:8", "SELECT * FROM (VALUES " + ", ".join
     lambda s, d: s.createDataFrame([(n,) for n in (1, 2, 10, 41)], "n int").withColumn("value", significance.expected_max_sharpe("n", 0.1)))
 _TRIALS = [0.9, 0.1, -0.3, 0.45, 0.2, -0.05, 0.6, 0.3, 0.0, -0.2]
 _TOP = stdev(_TRIALS) * ((1 - significance.EULER) * _inverse(1 - 1 / 10) + significance.EULER * _inverse(1 - 1 / (10 * e)))
-# the normal distribution by its series z (z^2)^k / (1 3 5 ... (2 k + 1))
+# the normal distribution by its series z (z^2)^k / (1 3 5 ... (2 k + 1)); beyond 9 it is 0 or 1 to far more digits than are shown
 _CDF = "0.5::DOUBLE + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda k: z * pow(z * z, k) * exp((k + 1) * ln(2::DOUBLE) + lgamma(k + 2) - lgamma(2 * k + 3))))"
 query("psr_dsr", "ticker psr:6 dsr:5", L + f""", m AS (SELECT ticker, count(*) AS n, (avg(ret) - 0.02::DOUBLE / 252) / stddev_samp(ret) AS sr, skewness(ret) AS g3, kurtosis(ret) AS g4 FROM lr GROUP BY 1),
-zs AS (SELECT ticker, h, (sr - h / sqrt(252)) * sqrt(n - 1) / sqrt(1 - g3 * sr + (g4 + 2) / 4 * sr * sr) AS z FROM m, (VALUES (0.0::DOUBLE), ({_TOP!r}::DOUBLE)) t(h)),
+zs AS (SELECT ticker, h, greatest(-9::DOUBLE, least(9::DOUBLE, (sr - h / sqrt(252)) * sqrt(n - 1) / sqrt(1 - g3 * sr + (g4 + 2) / 4 * sr * sr))) AS z FROM m, (VALUES (0.0::DOUBLE), ({_TOP!r}::DOUBLE)) t(h)),
 ps AS (SELECT ticker, h, {_CDF} AS p FROM zs) SELECT ticker, max(p) FILTER (h = 0) AS psr, max(p) FILTER (h > 0) AS dsr FROM ps GROUP BY 1""")(
     lambda s, d: significance.probabilistic_sharpe(risk.moments(_ret(s, d))).join(significance.deflated_sharpe(risk.moments(_ret(s, d)), _TRIALS).select("ticker", "dsr"), "ticker"))
 query("normal_functions", "x:4 pdf:8 cdf:6 quantile:6", "SELECT * FROM (VALUES " + ", ".join(f"(({x})::DOUBLE, exp(-(({x})::DOUBLE * ({x})::DOUBLE) / 2) / sqrt(2 * pi()), {__import__('math').erfc(-x / 2**0.5) / 2!r}::DOUBLE, {_inverse(min(max((x + 4) / 8, 0.0), 1.0))!r}::DOUBLE)" for x in (-3.9, -2.5, -1.0, 0.0, 0.3, 1.9, 3.7)) + ") t(x, pdf, cdf, quantile)")(
