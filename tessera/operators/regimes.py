@@ -88,9 +88,13 @@ def rolling_sharpe(returns: DataFrame, window: int = 252, rf: float = 0.02) -> D
 
 
 def rolling_summary(rolling: DataFrame, benchmark: str) -> DataFrame:
-    """Windows, extremes, median, last value, and shares above 0 and above a benchmark ticker."""
-    base = rolling.where(F.col("ticker") == benchmark).select("date", F.col("sharpe").alias("bench"))
-    rows = rolling.join(base, "date", "left")
+    """Windows, extremes, median, last value, and shares above 0 and above a benchmark ticker.
+
+    The benchmark's ratios are looked up among the rows: computed a second time for a join, their sums could come in another
+    order and differ in the last bits, and the benchmark would be above itself. A row without a date has no benchmark.
+    """
+    base = F.max(F.when(F.col("ticker") == benchmark, F.col("sharpe"))).over(Window.partitionBy("date"))
+    rows = rolling.withColumn("bench", F.when(F.col("date").isNotNull(), base))
     return rows.groupBy("ticker").agg(F.count("*").alias("windows"), F.min("sharpe").alias("least"), F.median("sharpe").alias("median"), F.max("sharpe").alias("most"), F.max_by("sharpe", "date").alias("last"), F.avg((F.col("sharpe") > 0).cast("double")).alias("above_zero"), F.avg((F.col("sharpe") > F.col("bench")).cast("double")).alias("above_benchmark"))
 
 

@@ -202,3 +202,16 @@ def test_a_bad_price_pair_counts_as_no_return(spark):
     rows = spark.createDataFrame([("A", i, r) for i, r in enumerate(rets)], "ticker string, date int, ret double")
     got = rows.select("date", indicators.rolling_volatility(4).alias("v")).orderBy("date").collect()
     assert got[3].v is None and got[4].v == pytest.approx(statistics.stdev([0.01, 0.0, -0.02, 0.03]) * 252**0.5)
+
+
+def test_a_benchmark_is_never_above_itself(spark):
+    """Ratios that come out a little different each time they are computed, as sums over a shuffle do."""
+    import random
+
+    noise = F.udf(lambda: random.random() * 1e-12, "double").asNondeterministic()
+    day = dt.date(2023, 1, 1)
+    rows = [(t, day + dt.timedelta(i), 1.0 + i + shift) for i in range(200) for t, shift in (("A", 0.0), ("N", 0.5 if i % 4 == 0 else -0.5))]
+    rows += [("N", day + dt.timedelta(500), 9.0), ("A", None, 1.0), ("R", None, 2.0), ("R", day, 3.0)]  # no benchmark on a day of its own or without a date
+    rolling = spark.createDataFrame(rows, "ticker string, date date, sharpe double").withColumn("sharpe", F.col("sharpe") + noise())
+    got = {r.ticker: (r.windows, r.above_benchmark) for r in regimes.rolling_summary(rolling, "A").collect()}
+    assert got == {"A": (201, 0.0), "N": (201, 0.25), "R": (2, 1.0)}
